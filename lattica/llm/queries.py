@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import digests, packing, splits
+from lattica.llm import digests, leakage, packing, pii, splits
 from lattica.session import table, written
 
 # ------------------------------------------------------------------------------------------ problem 1
@@ -66,7 +66,37 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return summary.withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_group_splits, p2_percentiles, p2_whole_from_days, p7_containers, p7_fill)}
+# ------------------------------------------------------------------------------------------ problem 8
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every leak with the passage's words, those covered and those equal."""
+    return leakage.find_leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_item"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+# ------------------------------------------------------------------------------------------ problem 9
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pii.find_pii(docs, pii.corpus_lexicon(docs))
+
+
+def p9_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pii.sanitise(docs, pii.corpus_lexicon(docs))
+
+
+def p9_disclosure(spark: SparkSession, d: str) -> DataFrame:
+    """The terms that tell protected entities, with their counts and disclosure."""
+    return pii.disclosure(table(spark, d, "documents").select("text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_group_splits, p2_percentiles, p2_whole_from_days, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_sanitised, p9_disclosure)}
 
 _DONOR = "array_to_string((string_split(trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-'), '-'))[1:2], '-')"
 SQL = {
