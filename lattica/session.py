@@ -10,12 +10,17 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# functions of this package go to the Python workers by value: executors need no copy of it
+cloudpickle.register_pickle_by_value(sys.modules["lattica"])
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Largest side, in bytes as estimated from a counted table, that may be broadcast.
 BROADCAST_BYTES = 48 << 20
