@@ -29,7 +29,9 @@ from lattica.session import written
 #: A test set beyond this many words is refused: it is sent to every task.
 MOST_TEST_WORDS = 20_000_000
 SEGMENT_WORDS = 400_000
-BLOCK, RARE, MEET, GAP = 8, 3, 5, 6
+#: Of each BLOCK words the RARE rarest are looked up; MEET of them must meet within DRIFT words, and in a
+#: document at least SHARE of all.  A copy of half a passage with one word in eight changed keeps 7/16.
+BLOCK, RARE, MEET, DRIFT, SHARE, GAP = 8, 3, 5, 6, 0.3, 6
 
 # fixed values: letters of other scripts that look like Latin ones, and their Latin forms
 _ALIKE = str.maketrans("аеорсухіјѕһԁкмтвнзАЕОРСУХІЈЅКМТВНαορντικ", "aeopcyxijshdkmtbh3aeopcyxijskmtbhaopvtik")
@@ -193,44 +195,36 @@ def search(index: DataFrame, queries: list[Query]) -> DataFrame:
                 where = {int(t): k for k, t in enumerate(terms)}
                 out = []
                 for item, passage, seeds in shared.value:
-                    lists = []
-                    for s in seeds:
+                    lists, owners = [], []
+                    for o, s in enumerate(seeds):
                         k = where.get(int(passage[s]))
                         if k is not None:
                             lists.append(places[firsts[k] : firsts[k + 1]] - s)
+                            owners.append(np.full(len(lists[-1]), o, np.int32))
                     if not lists:
                         continue
-                    shift = np.sort(np.concatenate(lists))
+                    shift = np.concatenate(lists)
+                    order = np.argsort(shift, kind="stable")
+                    shift = shift[order]
                     n = len(passage)
                     meet = min(MEET, max(1, len(seeds) // 4))
-                    drift = 8 + n // 8
-                    near = np.flatnonzero(shift[meet - 1 :] - shift[: len(shift) - meet + 1] <= drift)
+                    near = np.flatnonzero(shift[meet - 1 :] - shift[: len(shift) - meet + 1] <= DRIFT + n // 16)
                     if not len(near):
                         continue
-                    # a passage may begin before its document does; its middle lies inside or at an edge
-                    at = np.concatenate([shift[near], shift[near + meet - 1]])
-                    spans: dict[int, list[int]] = {}
-                    for off in np.unique(at):
-                        a = int(np.searchsorted(starts, max(off, 0), "right")) - 1
-                        z = int(np.searchsorted(starts, min(off + n - 1, starts[-1] - 1), "right")) - 1
-                        for doc in range(max(a, 0), min(z, len(docs) - 1) + 1):
-                            lo, hi = max(int(starts[doc]), int(off) - 12), min(int(starts[doc + 1]), int(off) + n + 12)
-                            if lo < hi:
-                                spans.setdefault(doc, []).extend((lo, hi))
-                    for doc, ends in spans.items():
-                        edges = sorted(zip(ends[::2], ends[1::2]))
-                        pieces, (lo, hi) = [], edges[0]
-                        for a, z in edges[1:]:
-                            if a <= hi + 1:
-                                hi = max(hi, z)
-                            else:
-                                pieces.append(seq[lo:hi])
-                                lo, hi = a, z
-                        pieces.append(seq[lo:hi])
-                        words = pieces[0] if len(pieces) == 1 else np.concatenate([x for w in pieces for x in (w, np.full(GAP + 1, -1, np.int32))])
-                        cover, same = repeated(passage, words)
+                    # the lists' members that meet; a document goes on if enough different terms meet in it
+                    open_at = np.bincount(near, minlength=len(shift) + 1) - np.bincount(near + meet, minlength=len(shift) + 1)
+                    met = np.flatnonzero(np.cumsum(open_at[:-1]) > 0)
+                    owner = np.concatenate(owners)[order][met]
+                    off = shift[met]
+                    doc = np.searchsorted(starts, off + seeds[owner], "right") - 1
+                    pairs = np.unique(doc.astype(np.int64) * len(seeds) + owner) // len(seeds)
+                    held, terms_met = np.unique(pairs, return_counts=True)
+                    for d in held[terms_met >= max(meet, SHARE * len(seeds))]:
+                        mine = off[doc == d]
+                        lo, hi = max(int(starts[d]), int(mine.min()) - 12), min(int(starts[d + 1]), int(mine.max()) + n + 12)
+                        cover, same = repeated(passage, seq[lo:hi])
                         if leaks(cover, same, n):
-                            out.append((int(docs[doc]), item, n, cover, same))
+                            out.append((int(docs[d]), item, n, cover, same))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc_id", "item_id", "words", "covered", "equal"])
 
