@@ -17,15 +17,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.session import written
 
 #: A term is removed from this disclosure on (normalised mutual information), or from this share of
-#: its occurrences in naming slots on, given so many documents.  Common words stand in such slots (at the
+#: its occurrences in naming slots on, given so many occurrences.  Common words stand in such slots (at the
 #: end of a sentence in initials) for well under a twentieth of theirs.
-DISCLOSURE, SLOT_SHARE, LEAST_DOCS = 0.5, 0.12, 2
+DISCLOSURE, SLOT_SHARE, LEAST = 0.5, 0.12, 2
 #: A lexicon of more terms goes to the texts by a join instead of a broadcast.
 MOST_TERMS = 200_000
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -33,7 +34,6 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 _AT = r"(?:[ \u00a0]?@[ \u00a0]?|[ \u00a0]?[\[({<]at[\])}>][ \u00a0]?|[ \u00a0](?:AT|at)[ \u00a0](?=[\w-]+(?:[ \u00a0](?:DOT|dot)[ \u00a0]|[ \u00a0]?[\[({]dot[\])}])))"
 _DOT = r"(?:\.|[ \u00a0]?[\[({<]dot[\])}>][ \u00a0]?|[ \u00a0](?:DOT|dot)[ \u00a0])"
 EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9][\w.+-]*{_AT}[A-Za-z0-9][A-Za-z0-9-]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9-]*)*{_DOT}[A-Za-z]{{2,}}(?![\w-])", re.I)
-_HAS_AT = re.compile(r"@|[\[({<]at[\])}>]|\bat\b", re.I)
 
 # fixed values: national forms of telephone numbers
 PHONE = re.compile(
@@ -72,8 +72,6 @@ ADDRESS = re.compile(
     )(?![\w-])""",
     re.X | re.I,
 )
-_STREET_WORD = re.compile(rf"{_FR}\b|{_ES}\b|(?:{_DE})|{_EN}", re.I)
-
 # fixed values: titles before a name
 TITLE = r"(?:Dr|Mr|Mrs|Ms|Miss|Prof|Frau|Herrn?|Mme|Mlle|Sra?|Do[ñn]a?)"
 _PART = r"[^\W\d_]+"
@@ -85,14 +83,32 @@ _TERM = re.compile(r"[^\W\d_]{3,}")
 _PAIR = re.compile(r"\b([A-ZÀ-Þ][^\W\d_]+)(?=[ \u00a0](?:[A-Z]\.[ \u00a0]?){0,2}([A-ZÀ-Þ][^\W\d_]+))")
 
 
+# vector patterns that every text with a finding of the kind matches (and some others): only texts that
+# do are searched one by one
+_SP = r"[ \x{00a0}]"
+_MAYBE = {
+    "email": rf"(?i)@|[\[({{<]at[\])}}>]|{_SP}at{_SP}[\w-]+(?:{_SP}dot{_SP}|{_SP}?[\[({{<]dot[\])}}>])",
+    "phone": r"\+[1-9]|00[1-9]\d*[ .(-]|\(\d{2,5}\)|\d{3}[-.]\d{3}[-.]\d{4}|\d{3} \d{3}[ -]\d{4}|[2-9]\d{2}[2-9]\d{6}|0\d(?:[ .]\d\d){4}|0\d{1,4}/\d{5}|0\d{4} \d{6}|0\d{2,3} \d{3,4} \d{3,4}",
+    "id_number": r"[A-Za-z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-Da-d]\b|[A-Za-z]{2}\d{7}\b|\b[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}\b|\b\d{3}[ -]\d{2}[ -]\d{4}\b|\b\d{9}\b",
+    "address": r"\d[A-Za-z]? (?:[A-Z\x{00c0}-\x{00de}][\pL]*(?:-[\pL]+)? ){1,3}" + _EN.replace(r"(?:\.(?=[,;.]))?", "").replace(r"\.?)", ")")
+    + rf"|(?i:\d(?: ?(?:bis|ter|quater))?,? {_FR} )|(?i:{_ES} [^\d\n]{{1,60}}\d)|(?i:{_DE} \d)",
+}
+_SLOTTED = rf"\b{TITLE}\.?{_SP}|\b[A-Z]\.[ -]?(?:[A-Z]\.[ -]?)*{_SP}?[A-Z\x{{00c0}}-\x{{00de}}][\pL]"
+_NO_LETTERS = r"[^\pL]+"
+
+
+def _words(texts: pa.Array) -> pa.ListArray:
+    """The words of every text, in lower case."""
+    return pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), _NO_LETTERS)
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in EMAIL.finditer(text)] if _HAS_AT.search(text) else []
+    return [m.span() for m in EMAIL.finditer(text)]
 
 
-def _term_counts(text: str) -> tuple[set[str], set[str], Counter, Counter, Counter, Counter]:
-    """(terms in words of the text, those that an address of the text is made of, occurrences, occurrences
-    in naming slots, as first and as second of two capitalised words); all without letter case, and
-    without the addresses themselves."""
+def _term_counts(text: str) -> tuple[set[str], Counter, Counter, Counter]:
+    """(terms of the text that an address of it is made of, occurrences in naming slots, and as first and
+    as second of two capitalised words); without letter case, and without the addresses themselves."""
     spans = _emails(text)
     parts: set[str] = set()
     if spans:
@@ -103,13 +119,14 @@ def _term_counts(text: str) -> tuple[set[str], set[str], Counter, Counter, Count
             parts.update(x.lower() for x in _TERM.findall(local))
             at = z
         text = " ".join([*keep, text[at:]])
-    words = Counter(_TERM.findall(text.lower()))
     told: set[str] = set()
-    for p in parts:
-        if p in words:
-            told.add(p)
-        elif p[1:] in words and len(p) > 4:  # an initial before the family name
-            told.add(p[1:])
+    if parts:
+        words = set(_TERM.findall(text.lower()))
+        for p in parts:
+            if p in words:
+                told.add(p)
+            elif p[1:] in words and len(p) > 4:  # an initial before the family name
+                told.add(p[1:])
     slots: Counter = Counter()
     for m in _SLOT.finditer(text):
         slots.update(_TERM.findall((m[1] or m[2]).lower()))
@@ -117,16 +134,17 @@ def _term_counts(text: str) -> tuple[set[str], set[str], Counter, Counter, Count
     for a, b in _PAIR.findall(text):
         lead[a.lower()] += 1
         trail[b.lower()] += 1
-    return set(words), told, words, slots, lead, trail
+    return told, slots, lead, trail
 
 
-COUNTS = ("docs", "told", "occurrences", "slots", "lead", "trail")
+COUNTS = ("occurrences", "told", "slots", "lead", "trail")
 
 
 def disclosure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, docs, told, occurrences, slots, lead, trail, npmi): of every term that ever stands with an
-    entity made of it or in a naming slot, how strongly it tells it.  Counts are map-side sums per
-    task, then one shuffle of terms."""
+    """(term, occurrences, told, slots, lead, trail, npmi): of every term that ever stands with an entity
+    made of it or in a naming slot, how strongly it tells it.  ``occurrences`` counts the words of all
+    texts, in vector operations; texts with an address or a naming slot are searched one by one for the
+    rest.  Counts are map-side sums per task, then one shuffle of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = [Counter() for _ in COUNTS]
@@ -136,11 +154,14 @@ def disclosure(docs: DataFrame, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([c[t] for t in terms], pa.int64()) for c in counters]], names=["term", *COUNTS])
 
         for b in batches:
-            for t in b.column(0):
-                t = t.as_py()
-                if not t:
-                    continue
-                for c, x in zip(counters, _term_counts(t)):
+            texts = b.column(0)
+            seen = pc.value_counts(_words(texts).flatten())
+            for w, n in zip(seen.field(0).to_pylist(), seen.field(1).to_pylist()):
+                if len(w) > 2:
+                    counters[0][w] += n
+            some = pc.fill_null(pc.or_(pc.match_substring_regex(texts, _MAYBE["email"]), pc.match_substring_regex(texts, _SLOTTED)), False)
+            for t in texts.filter(some).to_pylist():
+                for c, x in zip(counters[1:], _term_counts(t)):
                     c.update(x)
             if len(counters[0]) > 500_000:
                 yield out()
@@ -153,17 +174,18 @@ def disclosure(docs: DataFrame, text: str = "text") -> DataFrame:
     sums = per_task.groupBy("term").agg(*[F.sum(c).alias(c) for c in COUNTS]).where("told > 0 OR slots > 0")
     total = F.lit(max(docs.count(), 2)).cast("double")
     # every told document holds both the term and the entity, so the joint share and the entity's own
-    # share are both told / total: pmi = log(total / docs), normalised by -log(told / total)
-    npmi = F.when(F.col("told") > 0, F.log(total / F.col("docs")) / F.greatest(F.log(total / F.col("told")), F.lit(1e-9)))
+    # share are both told / total: pmi = log(total / documents with the term), normalised by
+    # -log(told / total).  Occurrences bound those documents from above, so the disclosure from below.
+    npmi = F.when(F.col("told") > 0, F.log(total / F.col("occurrences")) / F.greatest(F.log(total / F.col("told")), F.lit(1e-9)))
     return sums.withColumn("npmi", npmi)
 
 
 def names_lexicon(terms: DataFrame) -> DataFrame:
-    """(term, given) of the terms beyond the disclosure threshold: told by addresses in a good share of
-    their documents, or often in naming slots.  ``given``: the term rather leads a name than ends it."""
-    told = (F.col("npmi") >= DISCLOSURE) & (F.col("told") >= 0.02 * F.col("docs")) & (F.col("docs") >= LEAST_DOCS)
-    slot = (F.col("slots") >= SLOT_SHARE * F.col("occurrences")) & (F.col("docs") >= LEAST_DOCS)
-    return terms.where(told | slot).select("term", (F.col("lead") > F.col("trail")).alias("given"))
+    """(term, given) of the terms beyond the disclosure threshold: told by addresses in some share of
+    their occurrences, or often in naming slots.  ``given``: the term rather leads a name than ends it."""
+    told = (F.col("npmi") >= DISCLOSURE) & (F.col("told") >= 0.02 * F.col("occurrences"))
+    slot = (F.col("slots") >= SLOT_SHARE * F.col("occurrences")) & (F.col("occurrences") >= LEAST)
+    return terms.where(told | slot).select("term", ((F.col("lead") >= 2) & (2 * F.col("lead") >= 3 * F.col("trail"))).alias("given"))
 
 
 _TOKEN = re.compile(r"[^\W\d_]{3,}")
@@ -221,22 +243,38 @@ def _names(text: str, terms: dict[str, bool], taken: list[tuple[int, int]]) -> l
     return out
 
 
-def find_spans(text: str | None, terms: dict[str, bool]) -> list[tuple[int, int, str]]:
+def find_spans(text: str | None, terms: dict[str, bool], kinds: frozenset[str] | set[str] = frozenset(KINDS)) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what a text tells, in order, without overlaps: mail addresses first, then
-    street addresses, telephone and identity numbers, and names outside all of them.  ``terms``: the
-    lexicon, true for given names."""
+    street addresses, identity and telephone numbers, and names outside all of them.  ``terms``: the
+    lexicon, true for given names; ``kinds``: those that the text may hold."""
     if not text:
         return []
-    found = [(a, z, "email") for a, z in _emails(text)]
+    found = [(a, z, "email") for a, z in _emails(text)] if "email" in kinds else []
     free = lambda a, z: not any(x < z and a < y for x, y, _ in found)
-    if _STREET_WORD.search(text):
-        found += [(m.start(), m.end(), "address") for m in ADDRESS.finditer(text) if free(*m.span())]
-    for kind, pattern in (("id_number", ID_NUMBER), ("phone", PHONE)):
-        found += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if free(*m.span())]
-    found += [(a, z, "name") for a, z in _names(text, terms, [(a, z) for a, z, _ in found])]
+    for kind, pattern in (("address", ADDRESS), ("id_number", ID_NUMBER), ("phone", PHONE)):
+        if kind in kinds:
+            found += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if free(*m.span())]
+    if "name" in kinds:
+        found += [(a, z, "name") for a, z in _names(text, terms, [(a, z) for a, z, _ in found])]
     return sorted(found)
 
 
+def spans_of(texts: pa.Array, lexicon: dict[str, bool]) -> dict[int, list[tuple[int, int, str]]]:
+    """The findings of each text of a batch, by its place; vector operations choose the texts and the
+    kinds to search for."""
+    may: dict[int, set[str]] = {}
+    for kind, pattern in _MAYBE.items():
+        for i in pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, pattern), False)).to_pylist():
+            may.setdefault(i, set()).add(kind)
+    words = _words(texts)
+    hit = pc.is_in(words.flatten(), value_set=pa.array(list(lexicon), pa.string()))
+    for i in pc.unique(pc.list_parent_indices(words).filter(hit)).to_pylist():
+        may.setdefault(i, set()).add("name")
+    chosen = sorted(may)
+    found = zip(chosen, texts.take(pa.array(chosen, pa.int64())).to_pylist())
+    return {i: spans for i, t in found if (spans := find_spans(t, lexicon, may[i]))}
+
+
 def _with_terms(docs: DataFrame, doc_id: str, text: str, lexicon: DataFrame) -> tuple[DataFrame, dict[str, bool] | None]:
     """The documents, and the lexicon as a table in memory if it is bounded; else each document with the
     terms of the lexicon that it holds, found by a join on the term."""
@@ -249,12 +287,11 @@ def _with_terms(docs: DataFrame, doc_id: str, text: str, lexicon: DataFrame) ->
     return rows.join(held, "doc_id", "left"), None
 
 
-def _lexica(batch: pa.RecordBatch, terms: dict[str, bool] | None) -> Iterator[dict[str, bool]]:
+def _lexicon_of(batch: pa.RecordBatch, terms: dict[str, bool] | None) -> dict[str, bool]:
+    """The lexicon, or the terms of it that the batch's texts hold."""
     if terms is not None:
-        while True:
-            yield terms
-    for own in batch.column(2).to_pylist():
-        yield {t["term"]: t["given"] for t in own or ()}
+        return terms
+    return {t["term"]: t["given"] for own in batch.column(2).to_pylist() for t in own or ()}
 
 
 def find_pii(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,9 +302,10 @@ def find_pii(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, kinds, texts = [], [], []
-            for i, t, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _lexica(b, terms)):
-                for kind, s in sorted({(kind, t[a:z]) for a, z, kind in find_spans(t, own)}):
-                    ids.append(i)
+            for i, spans in spans_of(b.column(1), _lexicon_of(b, terms)).items():
+                doc, t = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                for kind, s in sorted({(kind, t[a:z]) for a, z, kind in spans}):
+                    ids.append(doc)
                     kinds.append(kind)
                     texts.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "pii_kind", "pii_text"])
@@ -282,18 +320,13 @@ def sanitise(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, n = [], []
-            for t, own in zip(b.column(1).to_pylist(), _lexica(b, terms)):
-                spans = find_spans(t, own)
-                n.append(len(spans))
-                if not spans:
-                    out.append(t)
-                    continue
-                parts, at = [], 0
+            out, n = b.column(1).to_pylist(), [0] * b.num_rows
+            for i, spans in spans_of(b.column(1), _lexicon_of(b, terms)).items():
+                t, parts, at = out[i], [], 0
                 for a, z, kind in spans:
                     parts += [t[at:a], f"[{kind.upper()}]"]
                     at = z
-                out.append("".join([*parts, t[at:]]))
+                out[i], n[i] = "".join([*parts, t[at:]]), len(spans)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(n, pa.int32())], names=["doc_id", "text", "removed"])
 
     return rows.mapInArrow(run, "doc_id bigint, text string, removed int")
