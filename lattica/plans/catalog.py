@@ -104,9 +104,7 @@ def expressed_positions(spark, d):
 )
 def median_mad_scale(spark, d):
     s = sig.robust_scale(V.signal(spark, d), "value", sig.POSITION)
-    # a MAD of zero leaves values over the epsilon alone: not compared
-    spread = V.signal(spark, d)
-    _ = spread
+    # a MAD of zero leaves values over the epsilon alone: left out
     flat = s.groupBy(*sig.POSITION).agg(F.median(F.abs("scaled")).alias("m")).where("m > 0").select(*sig.POSITION)
     return s.join(flat, sig.POSITION, "left_semi").select("unit", "sample", "part", "rank", F.round("scaled", 4).alias("scaled"))
 
@@ -504,11 +502,11 @@ def spearman(spark, d):
 
 @query(
     """WITH p AS (SELECT event_id, event_type, round(1 / (1 + value), 4) AS p FROM events), k AS (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY p) + count(*) OVER (PARTITION BY event_type, p) - 1 AS rk, count(*) OVER (PARTITION BY event_type) AS m FROM p)
-  SELECT event_id, round(least(min(p * m / rk) OVER (PARTITION BY event_type ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1), 6) AS q FROM k"""
+  SELECT event_id, round(least(min(p * m / rk) OVER (PARTITION BY event_type ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1), 9) AS q FROM k"""
 )
 def bh_fdr(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", F.round(1 / (1 + F.col("value")), 4).alias("p"))
-    return ranks.benjamini_hochberg(e, "p", ["event_type"]).select("event_id", *r6("q"))
+    return ranks.benjamini_hochberg(e, "p", ["event_type"]).select("event_id", F.round("q", 9).alias("q"))
 
 
 @query(
