@@ -82,10 +82,10 @@ def variant_prediction(spark, d):
 
 @query(
     f"""WITH {_SUP}, {_SETS}, b AS (SELECT prs.g1, prs.g2, coalesce(max(score), 0) AS p FROM prs LEFT JOIN ps ON ps.g1 = prs.g1 AND ps.g2 = prs.g2 GROUP BY 1, 2)
-  SELECT CASE WHEN p > -1 AND p <= 1e-9 THEN 'none' WHEN p > 1e-9 AND p <= 0.002 THEN 'low' WHEN p > 0.002 AND p <= 0.004 THEN 'mid' WHEN p > 0.004 AND p <= 1.01 THEN 'high' END AS p_bin, count(*) AS n, round(avg(g2 - g1), 6) AS mean_gap FROM b GROUP BY 1"""
+  SELECT CASE WHEN p > -1 AND p <= 1e-9 THEN 'none' WHEN p > 1e-9 AND p <= 7e-4 THEN 'low' WHEN p > 7e-4 AND p <= 8e-4 THEN 'mid' WHEN p > 8e-4 AND p <= 1.01 THEN 'high' END AS p_bin, count(*) AS n, round(avg(g2 - g1), 6) AS mean_gap FROM b GROUP BY 1"""
 )
 def coloc_dose_response(spark, d):
-    got = pairs.colocalisation(_supplier_pairs(spark, d), _sets(spark, d)).withColumn("p_bin", bins.cut(F.col("p_coloc"), [-1, 1e-9, 0.002, 0.004, 1.01], ["none", "low", "mid", "high"]))
+    got = pairs.colocalisation(_supplier_pairs(spark, d), _sets(spark, d)).withColumn("p_bin", bins.cut(F.col("p_coloc"), [-1, 1e-9, 7e-4, 8e-4, 1.01], ["none", "low", "mid", "high"]))
     return got.groupBy("p_bin").agg(F.count("*").alias("n"), F.round(F.avg(F.col("g2") - F.col("g1")), 6).alias("mean_gap"))
 
 
