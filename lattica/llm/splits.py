@@ -85,25 +85,31 @@ def _closest(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
             raw = np.frombuffer(new.to_bytes((bits + 7) // 8, "little"), np.uint8)
             first[np.flatnonzero(np.unpackbits(raw, bitorder="little")[:bits])] = i
             reach |= new
-    sums = np.flatnonzero(first >= 0)
-    sums = np.concatenate([[0], sums])
-    at = int(sums[np.argmin(np.abs(sums - goal))])
-    take: dict[int, int] = {}
-    while at > 0:
-        s, n, w = parts[first[at]]
-        take[s] = take.get(s, 0) + n
-        at -= w
-    if unit > 1:  # what rounding to units lost, by whole groups, largest first
+    sums = np.concatenate([[0], np.flatnonzero(first >= 0)])
+
+    def taken(at: int) -> dict[int, int]:
+        got: dict[int, int] = {}
+        while at > 0:
+            s, n, w = parts[first[at]]
+            got[s] = got.get(s, 0) + n
+            at -= w
+        return got
+
+    if unit == 1:
+        return taken(int(sums[np.argmin(np.abs(sums - goal))]))
+    # units round sizes down: totals at and below the goal are tried, each filled up by whole groups that
+    # fit, largest first, and the closest counts
+    best: tuple[int, dict[int, int]] | None = None
+    for at in sums[np.argsort(np.abs(sums - goal), kind="stable")][:200]:
+        take = taken(int(at))
         have = sum(s * n for s, n in take.items())
-        left = {s: m - take.get(s, 0) for s, m in sizes}
-        for s in sorted(left, reverse=True):
-            n = min(left[s], max(0, (target - have) // s))
+        for s, m in sorted(sizes, reverse=True):
+            n = min(m - take.get(s, 0), max(0, (target - have) // s))
             if n:
                 take[s], have = take.get(s, 0) + n, have + s * n
-            n = min(take.get(s, 0), max(0, (have - target) // s))
-            if n:
-                take[s], have = take[s] - n, have - s * n
-    return {s: n for s, n in take.items() if n}
+        if best is None or abs(have - target) < best[0]:
+            best = abs(have - target), take
+    return best[1] if best else {}
 
 
 def choose(sizes: list[tuple[int, int]], shares: dict[str, float], rest: str) -> dict[int, list[tuple[str, int]]]:
