@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.session import q
+from lattica.operators.skew import carried_last, carried_sum, ordered_blocks
+from lattica.session import q, written
 
 
 def _binned(df: DataFrame, lo: Column, hi: Column, width: float, name: str) -> DataFrame:
@@ -37,14 +38,16 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, on: Sequence[st
 
 def as_of(points: DataFrame, events: DataFrame, on: Sequence[str], at: str, start: str, fields: Sequence[str], tie: Sequence[str] = (), until: str | None = None) -> DataFrame:
     """``points`` with the ``fields`` of the latest event whose ``start <= at`` (ties in ``start``: the last by
-    ``tie``), null without one; with ``until``, null also if ``at`` lies beyond that event's end.  One union,
-    one sort per ``on``: no range join.  Points without a place get nulls."""
+    ``tie``), null without one; with ``until``, null also if ``at`` lies beyond that event's end.  Points and events
+    are put in one order and cut into blocks; the last event of a block is carried to the next, so no key
+    is drawn into one task.  Points without a place get nulls."""
     ev = events.where(q(start).isNotNull())
     keep = [*fields, *([until] if until else [])]
-    e = ev.select(*[q(c) for c in on], q(start).alias("_at"), F.lit(0).alias("_kind"), F.struct(*[q(c) for c in (tie or fields)]).alias("_tie"), F.struct(*[q(c).alias(f"f{i}") for i, c in enumerate(keep)]).alias("_f"), F.lit(None).cast(points.select(F.struct(*[q(c) for c in points.columns])).schema[0].dataType).alias("_row"))
+    row = points.select(F.struct(*[q(c) for c in points.columns])).schema[0].dataType
+    e = ev.select(*[q(c) for c in on], q(start).alias("_at"), F.lit(0).alias("_kind"), F.struct(*[q(c) for c in (tie or fields)]).alias("_tie"), F.struct(*[q(c).alias(f"f{i}") for i, c in enumerate(keep)]).alias("_f"), F.lit(None).cast(row).alias("_row"))
     p = points.select(*[q(c) for c in on], q(at).cast(ev.schema[start].dataType).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(e.schema["_tie"].dataType).alias("_tie"), F.lit(None).cast(e.schema["_f"].dataType).alias("_f"), F.struct(*[q(c) for c in points.columns]).alias("_row"))
-    w = Window.partitionBy(*[q(c) for c in on]).orderBy(F.col("_at").asc_nulls_first(), "_kind", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(p).withColumn("_last", F.last("_f", ignorenulls=True).over(w)).where("_kind = 1")
+    blocks = ordered_blocks(e.unionByName(p), on, ["_at", "_kind", "_tie"])
+    both = carried_last(blocks, on, [F.col("_at"), F.col("_kind"), F.col("_tie")], "_f", "_last").where("_kind = 1")
     ok = F.col("_row")[at].isNotNull()
     if until:
         ok = ok & (F.col("_row")[at] <= F.col("_last")[f"f{len(keep) - 1}"])
@@ -52,11 +55,13 @@ def as_of(points: DataFrame, events: DataFrame, on: Sequence[str], at: str, star
 
 
 def events_before(points: DataFrame, events: DataFrame, on: Sequence[str], at: str, place: str, out: str = "before") -> DataFrame:
-    """``points`` with the number of events of the same ``on`` strictly before them."""
-    e = events.where(q(place).isNotNull()).select(*[q(c) for c in on], q(place).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(points.select(F.struct(*[q(c) for c in points.columns])).schema[0].dataType).alias("_row"))
+    """``points`` with the number of events of the same ``on`` strictly before them, by running sums over ordered
+    blocks; null for points without a place."""
+    row = points.select(F.struct(*[q(c) for c in points.columns])).schema[0].dataType
+    e = events.where(q(place).isNotNull()).select(*[q(c) for c in on], q(place).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(row).alias("_row"))
     p = points.select(*[q(c) for c in on], q(at).cast("double").alias("_at"), F.lit(0).alias("_kind"), F.struct(*[q(c) for c in points.columns]).alias("_row"))
-    w = Window.partitionBy(*[q(c) for c in on]).orderBy(F.col("_at").asc_nulls_first(), "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(p).withColumn(out, F.sum("_kind").over(w)).where("_kind = 0")
+    blocks = ordered_blocks(e.unionByName(p), on, ["_at", "_kind"])
+    both = carried_sum(blocks, on, [F.col("_at"), F.col("_kind")], "_kind", out).where("_kind = 0")
     return both.select(*[F.col("_row")[c].alias(c) for c in points.columns], F.when(F.col("_row")[at].isNotNull(), F.col(out)).alias(out))
 
 
@@ -72,11 +77,8 @@ def strongest_between(pairs: DataFrame, points: DataFrame, on: Sequence[str], lo
 def contained_and_crossed(pairs: DataFrame, spans: DataFrame, on: Sequence[str], a: str, b: str, start: str, end: str, width: float, key: Sequence[str]) -> DataFrame:
     """``pairs`` with ``same`` (some span holds both places) and ``crossed`` (spans that hold exactly one).
     Each place is located on its own, so work follows the hits, not pairs times spans."""
-    ids = spans.select(*[q(c) for c in on], q(start), q(end)).withColumn("_span", F.struct(*[q(c) for c in on], q(start), q(end), F.monotonically_increasing_id()))
-    ids = ids.withColumn("_sid", F.monotonically_increasing_id())
-    from lattica.session import written
-
-    ids = written(ids.drop("_span"), "spans")  # ids must not change between the two uses
+    ids = spans.select(*[q(c) for c in on], q(start), q(end)).withColumn("_sid", F.monotonically_increasing_id())
+    ids = written(ids, "spans")  # ids must not change between the two uses
     one = lambda col, name: points_in_intervals(pairs.select(*[q(c) for c in key], *[q(c) for c in on if c not in key], q(col).alias("_p")), ids, on, "_p", start, end, width).select(*[q(c) for c in key], "_sid", F.lit(1).alias(name))
     both = one(a, "_a").join(one(b, "_b"), [*key, "_sid"], "full")
     got = both.groupBy(*[q(c) for c in key]).agg(F.bool_or(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("same"), F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("crossed"))
@@ -156,7 +158,6 @@ def random_partners(pairs: DataFrame, pool: DataFrame, stratum: Sequence[str], k
     sizes = pool.groupBy(*stratum).agg(F.count("*").alias("_of"))
     s = F.struct(*stratum)
     draws = pairs.withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
-    pid = F.struct(*[q(c) for c in pairs.columns])
     for k in (1, 2):
         size = sizes.select(s.alias(f"s{k}"), F.col("_of").alias(f"_of{k}"))
         draws = draws.join(size, f"s{k}").withColumn(f"_n{k}", F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("_try"), *[q(c) for c in pairs.columns]), F.col(f"_of{k}")))
@@ -165,5 +166,4 @@ def random_partners(pairs: DataFrame, pool: DataFrame, stratum: Sequence[str], k
         draws = draws.join(side, [f"s{k}", f"_n{k}"])
     valid = draws.where(F.abs(F.col("_r1") - F.col("_r2")) > apart)
     first = valid.groupBy(*[q(c) for c in pairs.columns]).agg(F.min_by(F.struct("u", "v"), "_try").alias("_p"))
-    _ = pid
     return first.select(*[q(c) for c in pairs.columns], F.col("_p.u").alias("u"), F.col("_p.v").alias("v"))

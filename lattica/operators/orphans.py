@@ -23,7 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.session import BROADCAST_BYTES, colname, parallelism, small_enough, written
+from lattica.operators.skew import salted
+from lattica.session import BROADCAST_BYTES, colname, small_enough, written
 
 MATCH = ("simple", "partial", "full")
 
@@ -92,7 +93,7 @@ def find_orphans(
         when = [F.col(kid[i]) == F.col(par[i]) for i in live]
         salt = None
         if not small:
-            mine, there, salt = _salted(mine, there, [kid[i] for i in live], on, base)
+            mine, there, salt = salted(mine, there, [kid[i] for i in live], on, base)
             when.append(F.col(f"{salt}l") == F.col(f"{salt}r"))
         if dated:
             when.append(F.col(at_name) >= F.col(s_name))
@@ -103,23 +104,6 @@ def find_orphans(
     return reduce(DataFrame.unionByName, found)
 
 
-def _salted(left: DataFrame, right: DataFrame, lk: list[str], rk: list[str], base: str):
-    """Spread keys that hold more than a partition's share of ``left`` over as many salts as their
-    share needs; ``right`` has those keys' rows once per salt.  At most ``parts`` keys can be hot, which
-    bounds the list that is broadcast."""
-    parts = parallelism(left.sparkSession)
-    counts = left.groupBy(*lk).count()
-    total = left.count()
-    share = max(1, total // parts)
-    hot = counts.where(F.col("count") > share).select(*lk, F.ceil(F.col("count") / share).cast("int").alias(f"{base}n"))
-    hot = written(hot, "hot")
-    slot = f"{base}z"
-    left = left.join(F.broadcast(hot), lk, "left").withColumn(f"{slot}l", F.when(F.col(f"{base}n").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.col(f"{base}n"))).otherwise(F.lit(0)).cast("int"))
-    again = hot.select(*[F.col(a).alias(b) for a, b in zip(lk, rk)], f"{base}n")
-    right = right.join(F.broadcast(again), rk, "left").withColumn(f"{slot}r", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"{base}n"), F.lit(1)) - 1)))
-    return left.drop(f"{base}n"), right.drop(f"{base}n"), slot
-
-
 def orphans_by_month(orphans: DataFrame, table: str = "child_table", field: str = "child_field", at: str = "loaded_at") -> DataFrame:
     """Counts per table, field and month of ``at``; rows without a time are counted under a null month."""
     month = F.date_format(F.col(at), "yyyy-MM")
