@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from lattica.functions.keys import leading_tokens
 from lattica.operators.hotkeys import number_rows
-from lattica.session import small_enough, written
+from lattica.operators.skew import lookup
+from lattica.session import written
 
 #: Totals are held in units so that a bitset has at most this many bits.
 MOST_BITS = 1 << 20
@@ -36,8 +37,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
         ru = parent.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
         rv = parent.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
         # hook: the larger of two roots that a link connects goes under the smallest root it meets
-        hooks = edges.join(ru, "u").join(rv, "v").where("pu <> pv").groupBy(F.greatest("pu", "pv").alias("parent")).agg(F.min(F.least("pu", "pv")).alias("hooked"))
-        moved = parent.join(up, "parent", "left").join(hooks, "parent", "left")
+        tied = lookup(lookup(edges, ru, ["u"], "inner"), rv, ["v"], "inner")
+        hooks = written(tied.where("pu <> pv").groupBy(F.greatest("pu", "pv").alias("parent")).agg(F.min(F.least("pu", "pv")).alias("hooked")), "hooks")
+        moved = lookup(lookup(parent, up, ["parent"]), hooks, ["parent"])
         # shortcut: to the grandparent, or to what the parent was hooked to
         step = moved.select("node", F.least(F.coalesce("grand", "parent"), F.coalesce("hooked", "parent")).alias("to"), (F.col("parent")).alias("was"))
         step = written(step, "parent")
@@ -49,12 +51,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
 
 def grouped(rows: DataFrame, entity: Column, links: DataFrame, a: str, b: str) -> DataFrame:
     """``rows`` with ``_group``: the root of each row's entity (the entity itself if nothing links it, null
-    if it is null).  The roots are broadcast if counted small; else they are joined by shuffle, after the
-    rows of entities without a link, usually nearly all, are set aside by the outer join itself."""
+    if it is null).  The roots are broadcast if counted small; else they are joined by shuffle with the rows of
+    large entities salted."""
     roots = components(links, a, b)
-    roots, _ = small_enough(roots)
-    tagged = rows.withColumn("_entity", entity)
-    return tagged.join(roots.select(F.col("node").alias("_entity"), "root"), "_entity", "left").withColumn("_group", F.coalesce("root", "_entity")).drop("_entity", "root")
+    roots = roots.select(F.col("node").alias("_entity"), "root")
+    tagged = lookup(rows.withColumn("_entity", entity), roots, ["_entity"])
+    return tagged.withColumn("_group", F.coalesce("root", "_entity")).drop("_entity", "root")
 
 
 def _closest(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
@@ -156,17 +158,9 @@ def first_of_group(rows: DataFrame, row_id: str) -> DataFrame:
     """(first_row_id, row_id) of every row that is not the first of its ``_group``.  Rows of no group are
     left out.  The smallest ids come from map-side minima; they go back to the rows by broadcast if
     counted small, else by a join in which groups larger than a partition's share are salted."""
-    from lattica.operators.orphans import _salted
-
     known = rows.where(F.col("_group").isNotNull()).select("_group", F.col(row_id).alias("row_id"))
     firsts = written(known.groupBy("_group").agg(F.min("row_id").alias("first_row_id")), "firsts")
-    firsts, small = small_enough(firsts)
-    if small:
-        joined = known.join(firsts, "_group")
-    else:
-        left, right, slot = _salted(known, firsts.withColumnRenamed("_group", "_g"), ["_group"], ["_g"], "_fg")
-        joined = left.join(right, (F.col("_group") == F.col("_g")) & (F.col(f"{slot}l") == F.col(f"{slot}r")))
-    return joined.where("row_id <> first_row_id").select("first_row_id", "row_id")
+    return lookup(known, firsts, ["_group"], "inner").where("row_id <> first_row_id").select("first_row_id", "row_id")
 
 
 __all__ = ["assign_splits", "choose", "components", "donor", "first_of_group", "grouped"]
