@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators.skew import carried_last, carried_sum, ordered_blocks
-from lattica.session import q, written
+from lattica.operators.skew import carried_last, carried_sum, ordered_blocks, salted
+from lattica.session import q, small_enough, written
 
 
 def _binned(df: DataFrame, lo: Column, hi: Column, width: float, name: str) -> DataFrame:
@@ -27,13 +27,19 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, on: Sequence[st
     lo, hi, p = q(start), q(end), q(at)
     side = intervals.where(lo.isNotNull() & hi.isNotNull() & (lo <= hi))
     side = _binned(side, lo, hi, width, "_bin")
-    side = side.select(*[q(c).alias(f"_k{i}") for i, c in enumerate(on)], "_bin", *[q(c) for c in side.columns if c not in on and c != "_bin"])
+    keys = [f"_k{i}" for i in range(len(on))]
+    side = side.select(*[q(c).alias(k) for c, k in zip(on, keys)], "_bin", *[q(c) for c in side.columns if c not in on and c != "_bin"])
     pts = points.withColumn("_pbin", F.floor(p / width))
-    cond = F.col("_pbin") == F.col("_bin")
-    for i, c in enumerate(on):
-        cond = cond & (pts[c] == F.col(f"_k{i}"))
+    side, small = small_enough(written(side, "intervals"))
+    cond, drop = F.lit(True), ["_bin", "_pbin", *keys]
+    if not small:  # a place that most points share is salted
+        pts, side, slot = salted(pts, side, [*on, "_pbin"], [*keys, "_bin"], "_pi")
+        cond, drop = F.col(f"{slot}l") == F.col(f"{slot}r"), [*drop, f"{slot}l", f"{slot}r"]
+    cond = cond & (F.col("_pbin") == F.col("_bin"))
+    for c, k in zip(on, keys):
+        cond = cond & (pts[c] == F.col(k))
     inside = (p >= side[start]) & (p <= side[end]) if closed == "both" else (p > side[start]) & (p < side[end])
-    return pts.join(side, cond & inside, how).drop("_bin", "_pbin", *[f"_k{i}" for i in range(len(on))])
+    return pts.join(side, cond & inside, how).drop(*drop)
 
 
 def as_of(points: DataFrame, events: DataFrame, on: Sequence[str], at: str, start: str, fields: Sequence[str], tie: Sequence[str] = (), until: str | None = None) -> DataFrame:

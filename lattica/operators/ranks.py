@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.bins import pearson
-from lattica.session import colname, parallelism, q, written
+from lattica.operators.skew import lookup
+from lattica.session import parallelism, q, written
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -32,27 +33,21 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return joined.select(*keys, q(value), "n", (F.col("_offset") + F.col("_local")).alias("before"), "total")
 
 
+def _attached(df: DataFrame, scores: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """``df`` with the scores of its values; a value that most rows share is no burden."""
+    return lookup(df, written(scores, "scores"), [*by, value], null_safe=True)
+
+
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """``df`` with ``out``, the rank from 1 with ties averaged; null for null and NaN."""
     r = value_ranks(df, value, by)
-    tag = colname(df.columns, base="_v")
-    side = r.select(*[q(c).alias(f"{tag}{i}") for i, c in enumerate(by)], q(value).alias(tag), (F.col("before") + (F.col("n") + 1) / 2).alias(out))
-    on = [q(c).eqNullSafe(F.col(f"{tag}{i}")) for i, c in enumerate(by)]
-    match = F.col(tag) == q(value)
-    for o in on:
-        match = match & o
-    return df.join(side, match, "left").drop(tag, *[f"{tag}{i}" for i in range(len(by))])
+    return _attached(df, r.select(*[q(c) for c in by], q(value), (F.col("before") + (F.col("n") + 1) / 2).alias(out)), value, by)
 
 
 def pct_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "pct") -> DataFrame:
     """Average rank divided by the rows of the group (not ``percent_rank``)."""
     r = value_ranks(df, value, by)
-    tag = colname(df.columns, base="_v")
-    side = r.select(*[q(c).alias(f"{tag}{i}") for i, c in enumerate(by)], q(value).alias(tag), ((F.col("before") + (F.col("n") + 1) / 2) / F.col("total")).alias(out))
-    match = F.col(tag) == q(value)
-    for i, c in enumerate(by):
-        match = match & q(c).eqNullSafe(F.col(f"{tag}{i}"))
-    return df.join(side, match, "left").drop(tag, *[f"{tag}{i}" for i in range(len(by))])
+    return _attached(df, r.select(*[q(c) for c in by], q(value), ((F.col("before") + (F.col("n") + 1) / 2) / F.col("total")).alias(out)), value, by)
 
 
 def pct_bin(pct: Column, bins: int = 5) -> Column:
@@ -78,13 +73,8 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), out: str =
     above = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     tops = ranged.groupBy(*keys, "_range").agg(F.min("_raw").alias("_least")).withColumn("_above", F.min("_least").over(above)).drop("_least")
     inside = Window.partitionBy(*keys, "_range").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    final = ranged.withColumn("_own", F.min("_raw").over(inside)).join(tops, [*by, "_range"]).select(*keys, q(p).alias("_p"), F.least(F.col("_own"), F.col("_above"), F.lit(1.0)).alias(out))
-    match = F.col("_p") == q(p)
-    renamed = final
-    for i, c in enumerate(by):
-        renamed = renamed.withColumnRenamed(c, f"_k{i}")
-        match = match & q(c).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(renamed, match, "left").drop("_p", *[f"_k{i}" for i in range(len(by))])
+    final = ranged.withColumn("_own", F.min("_raw").over(inside)).join(tops, [*by, "_range"]).select(*keys, q(p), F.least(F.col("_own"), F.col("_above"), F.lit(1.0)).alias(out))
+    return _attached(df, final, p, by)
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:

@@ -27,19 +27,20 @@ def salted(left: DataFrame, right: DataFrame, lk: Sequence[str], rk: Sequence[st
     return left.drop(f"{base}n"), right.drop(f"{base}n"), slot
 
 
-def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES, null_safe: bool = False) -> DataFrame:
     """``left`` with the other columns of ``right``, which has one row per ``on``: by broadcast if ``right`` is counted
-    small, else shuffled with hot keys of ``left`` salted.  ``how``: left or inner.  Null keys find nothing."""
-    side, small = small_enough(right, limit)
-    if small:
-        return left.join(side, list(on), how)
+    small, else shuffled with hot keys of ``left`` salted.  ``how``: left or inner.  Null keys find nothing, or
+    each other with ``null_safe``.  ``right`` should be written, as it is counted first."""
     base = colname(left.columns, right.columns, base="_lk")
     tags = [f"{base}k{i}" for i in range(len(on))]
-    a, b, slot = salted(left, right.withColumnsRenamed(dict(zip(on, tags))), on, tags, base)
-    cond = F.col(f"{slot}l") == F.col(f"{slot}r")
+    side, small = small_enough(right.select(*[q(c).alias(t) for c, t in zip(on, tags)], *[q(c) for c in right.columns if c not in on]), limit)
+    cond, drop = F.lit(True), list(tags)
+    if not small:
+        left, side, slot = salted(left, side, on, tags, base)
+        cond, drop = F.col(f"{slot}l") == F.col(f"{slot}r"), [*drop, f"{slot}l", f"{slot}r"]
     for c, t in zip(on, tags):
-        cond = cond & (q(c) == F.col(t))
-    return a.join(b, cond, how).drop(f"{slot}l", f"{slot}r", *tags)
+        cond = cond & (left[c].eqNullSafe(F.col(t)) if null_safe else left[c] == F.col(t))
+    return left.join(side, cond, how).drop(*drop)
 
 
 def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -209,9 +209,12 @@ def _boxes(spark, seed, n=60):
     return pts, iv, spark.createDataFrame(pts, "i int, chr string, p int"), spark.createDataFrame(iv, "j int, chr string, s int, e int")
 
 
+@pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize("width", [7, 1000])
-def test_points_in_intervals(spark, width):
+def test_points_in_intervals(spark, monkeypatch, width, small):
     pts, iv, p, v = _boxes(spark, 1)
+    if not small:
+        monkeypatch.setattr(interval, "small_enough", lambda df, *_: (df, False))
     got = {(r.i, r.j) for r in interval.points_in_intervals(p, v, ["chr"], "p", "s", "e", width).collect()}
     assert got == {(i, j) for i, c, x in pts for j, d, s, e in iv if x is not None and c == d and s <= x <= e}
     both = interval.points_in_intervals(p, v, ["chr"], "p", "s", "e", width, "left")
