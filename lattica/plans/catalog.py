@@ -472,11 +472,11 @@ def cut_bins(spark, d):
 
 @query(
     f"""WITH {V.PAIRS}, e AS (SELECT unit, quantile_cont(contact_kr, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS q FROM pairs GROUP BY unit), b AS (SELECT p.unit, r, CASE WHEN contact_kr <= q[2] THEN 0 WHEN contact_kr <= q[3] THEN 1 WHEN contact_kr <= q[4] THEN 2 WHEN contact_kr <= q[5] THEN 3 ELSE 4 END AS bin
-    FROM pairs p JOIN e ON p.unit = e.unit WHERE contact_kr IS NOT NULL) SELECT unit, bin, count(*) AS n, round(avg(r), 10) AS mean_r FROM b GROUP BY 1, 2"""
+    FROM pairs p JOIN e ON p.unit = e.unit WHERE contact_kr IS NOT NULL) SELECT unit, bin, count(*) AS n, round(avg(r), 12) AS mean_r FROM b GROUP BY 1, 2"""
 )
 def qcut_quintiles(spark, d):
     p = V.pairs(spark, d).where("contact_kr IS NOT NULL").select("unit", "contact_kr", "r")
-    return bins.qcut(p, "contact_kr", 5, ["unit"]).groupBy("unit", "bin").agg(F.count("*").alias("n"), F.round(F.avg("r"), 10).alias("mean_r"))
+    return bins.qcut(p, "contact_kr", 5, ["unit"]).groupBy("unit", "bin").agg(F.count("*").alias("n"), F.round(F.avg("r"), 12).alias("mean_r"))
 
 
 _PCT = """(rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITION BY {by}, {v}) - 1) / 2.0)"""
@@ -484,12 +484,12 @@ _PCT = """(rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTIT
 
 @query(
     f"""WITH {V.PAIRS}, x AS (SELECT unit, part, r, {_PCT.format(by="unit, part", v="contact_kr")} / count(*) OVER (PARTITION BY unit, part) AS pct FROM pairs WHERE contact_kr IS NOT NULL)
-  SELECT unit, part, cast(floor(least(5 * pct, 4.999)) AS int) AS quintile, count(*) AS n, round(avg(r), 10) AS mean_r FROM x GROUP BY 1, 2, 3"""
+  SELECT unit, part, cast(floor(least(5 * pct, 4.999)) AS int) AS quintile, count(*) AS n, round(avg(r), 12) AS mean_r FROM x GROUP BY 1, 2, 3"""
 )
 def pct_rank_strata(spark, d):
     p = V.pairs(spark, d).where("contact_kr IS NOT NULL").select("unit", "part", "contact_kr", "r")
     x = ranks.pct_rank(p, "contact_kr", ["unit", "part"]).withColumn("quintile", ranks.pct_bin(F.col("pct")))
-    return x.groupBy("unit", "part", "quintile").agg(F.count("*").alias("n"), F.round(F.avg("r"), 10).alias("mean_r"))
+    return x.groupBy("unit", "part", "quintile").agg(F.count("*").alias("n"), F.round(F.avg("r"), 12).alias("mean_r"))
 
 
 _RR = """{a} AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY x) + (count(*) OVER (PARTITION BY {by}, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY {by} ORDER BY y) + (count(*) OVER (PARTITION BY {by}, y) - 1) / 2.0 AS ry FROM {src})"""
