@@ -26,6 +26,8 @@ DELTA, BOUND = 200, 0.01
 QS = (0.05, 0.25, 0.5, 0.75, 0.95)
 #: Rows held by a task before it clusters what it has; bounds its memory whatever the groups' sizes.
 FLUSH_ROWS = 400_000
+#: Parts in which the centroids of one group are joined before they are joined as a whole.
+SHARES = 32
 
 
 def cluster(group: np.ndarray, mean: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.ndarray, delta: float) -> tuple[np.ndarray, ...]:
@@ -117,8 +119,10 @@ def merge(digests: DataFrame, by: Sequence[str], fields: Sequence[str], delta: f
     """Digests of the same groups, from parts, days or finer groups, as one per group of ``by``."""
     code = _digest_task(len(by), list(fields), delta, FLUSH_ROWS, False)
     own = digests.select(*[q(c) for c in by], "field", "mean", "weight", "least", "greatest")
-    parts = own.repartition(*[q(c) for c in by], "field").mapInArrow(code, _schema(digests, by))
-    # a task that had to flush leaves several digests of a group; one more turn, by value order, joins them
+    # a group's centroids from many tasks are first joined in SHARES parts
+    share = F.pmod(F.spark_partition_id(), F.lit(SHARES))
+    parts = own.repartition(*[q(c) for c in by], F.col("field"), share).mapInArrow(code, _schema(digests, by))
+    # and the parts, of at most 2 * delta centroids each, by value order as a whole
     order = Window.partitionBy(*[q(c) for c in by], "field").orderBy("mean", "least", "greatest")
     whole = Window.partitionBy(*[q(c) for c in by], "field")
     scaled = parts.withColumn("_n", F.count("*").over(whole)).withColumn("_w", F.sum("weight").over(whole)).withColumn("_upto", F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)))
