@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lattica.session import written
 
 #: A term is removed from this disclosure on (normalised mutual information), or from this share of
-#: its occurrences in naming slots on, given so many occurrences.  Common words stand in such slots (at the
+#: its occurrences in naming slots on, given so many of those.  Common words stand in such slots (at the
 #: end of a sentence in initials) for well under a twentieth of theirs.
 DISCLOSURE, SLOT_SHARE, LEAST = 0.5, 0.12, 2
 #: A lexicon of more terms goes to the texts by a join instead of a broadcast.
@@ -184,7 +184,7 @@ def names_lexicon(terms: DataFrame) -> DataFrame:
     """(term, given) of the terms beyond the disclosure threshold: told by addresses in some share of
     their occurrences, or often in naming slots.  ``given``: the term rather leads a name than ends it."""
     told = (F.col("npmi") >= DISCLOSURE) & (F.col("told") >= 0.02 * F.col("occurrences"))
-    slot = (F.col("slots") >= SLOT_SHARE * F.col("occurrences")) & (F.col("occurrences") >= LEAST)
+    slot = (F.col("slots") >= SLOT_SHARE * F.col("occurrences")) & (F.col("slots") >= LEAST)
     return terms.where(told | slot).select("term", ((F.col("lead") >= 2) & (2 * F.col("lead") >= 3 * F.col("trail"))).alias("given"))
 
 
