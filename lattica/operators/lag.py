@@ -105,12 +105,18 @@ def decay_length(profile: DataFrame, by: Sequence[str], lag: str, value: str, fl
 
 def pair_correlations(signal: DataFrame, pairs: DataFrame, eps: float = 1e-9) -> DataFrame:
     """``pairs`` (unit, part, rank1, rank2, ...) with ``r``: the correlation of the two positions over the
-    samples that have both.  Positions travel as one array of (sample, z) each."""
-    z = zscore(signal, "value", POSITION, "z", eps=eps)
-    arrays = z.groupBy(*POSITION).agg(F.map_from_entries(F.collect_list(F.struct("sample", "z"))).alias("m"))
-    a = arrays.select("unit", "part", F.col("rank").alias("rank1"), F.col("m").alias("_a"))
-    b = arrays.select("unit", "part", F.col("rank").alias("rank2"), F.col("m").alias("_b"))
+    samples that have both, and ``n_samples``.  Each position travels as one array over all samples of its
+    unit, with nulls where it was not measured, so two positions meet element by element."""
+    z = zscore(signal, "value", POSITION, "z", eps=eps).select("unit", "sample", "part", "rank", "z")
+    grid = z.select(*POSITION).distinct().join(z.select("unit", "sample").distinct(), "unit").join(z, ["unit", "sample", "part", "rank"], "left")
+    packed = grid.groupBy(*POSITION).agg(F.sort_array(F.collect_list(F.struct("sample", "z"))).alias("_s")).select(*POSITION, F.transform("_s", lambda s: s["z"]).alias("_z"))
+    a = packed.select("unit", "part", F.col("rank").alias("rank1"), F.col("_z").alias("_a"))
+    b = packed.select("unit", "part", F.col("rank").alias("rank2"), F.col("_z").alias("_b"))
     j = pairs.join(a, ["unit", "part", "rank1"]).join(b, ["unit", "part", "rank2"])
-    prods = F.filter(F.transform(F.map_entries("_a"), lambda e: e["value"] * F.try_element_at(F.col("_b"), e["key"])), lambda v: v.isNotNull())
-    j = j.withColumn("_p", prods)
-    return j.withColumn("r", F.try_divide(F.aggregate("_p", F.lit(0.0), lambda acc, v: acc + v), F.size("_p").cast("double"))).withColumn("n_samples", F.size("_p")).drop("_a", "_b", "_p")
+    both = F.aggregate(
+        F.zip_with("_a", "_b", lambda x, y: x * y),
+        F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+        lambda acc, v: F.when(v.isNull(), acc).otherwise(F.struct((acc["s"] + v).alias("s"), (acc["n"] + 1).alias("n"))),
+    )
+    j = j.withColumn("_p", both)
+    return j.withColumn("r", F.try_divide(F.col("_p.s"), F.col("_p.n").cast("double"))).withColumn("n_samples", F.col("_p.n")).drop("_a", "_b", "_p")

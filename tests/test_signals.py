@@ -333,3 +333,16 @@ def test_covariate_bias_is_predicted_and_removed(spark):
     raw = {r.lag: r.correlation for r in lag.lag_profile(s, 10).collect()}
     clean = {r.lag: r.correlation for r in lag.lag_profile(resid.remove_trend(s, resid.trend_basis(s, track, 1)), 10).collect()}
     assert raw[1] > 0.3 and abs(clean[1]) < 0.5 * raw[1] and abs(clean[10]) < 0.5 * raw[10]
+
+
+def test_pair_correlations_with_holes(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(20, 4))
+    s = long(spark, x).where("NOT (sample = 's003' AND rank = 1)")
+    pairs_ = spark.createDataFrame([("u", "0", 0, 1), ("u", "0", 0, 3), ("u", "0", 2, 9)], "unit string, part string, rank1 int, rank2 int")
+    got = {(r.rank1, r.rank2): (r.r, r.n_samples) for r in lag.pair_correlations(s, pairs_).collect()}
+    z = lambda v: (v - v.mean()) / (v.std() + 1e-9)
+    keep = np.arange(20) != 3
+    assert got[0, 1][1] == 19 and got[0, 1][0] == pytest.approx(float((z(x[:, 0])[keep] * z(x[keep, 1])).mean()), abs=1e-9)
+    assert got[0, 3][0] == pytest.approx(float((z(x[:, 0]) * z(x[:, 3])).mean()), abs=1e-9)
+    assert (2, 9) not in got
