@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators.skew import carried_last, carried_sum, ordered_blocks, salted
+from lattica.operators.skew import carried_last, carried_sum, numbered, ordered_blocks, salted
 from lattica.session import q, small_enough, written
 
 
@@ -159,8 +159,7 @@ def random_partners(pairs: DataFrame, pool: DataFrame, stratum: Sequence[str], k
     """For each pair (columns s1, s2: the strata of its members) two random members of those strata more
     than ``apart`` ranks from each other: u, v.  Draws are hashes of (seed, pair, try); the first valid of
     ``tries`` counts, pairs without one go."""
-    w = Window.partitionBy(*stratum).orderBy(F.xxhash64(F.lit(seed), *[q(c) for c in key]), *[q(c) for c in key])
-    numbered = pool.withColumn("_n", F.row_number().over(w) - 1).withColumn("_of", F.count("*").over(Window.partitionBy(*stratum)))
+    pool = numbered(pool.withColumn("_h", F.xxhash64(F.lit(seed), *[q(c) for c in key])), stratum, ["_h", *key], "_n")
     sizes = pool.groupBy(*stratum).agg(F.count("*").alias("_of"))
     s = F.struct(*stratum)
     draws = pairs.withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
@@ -168,7 +167,7 @@ def random_partners(pairs: DataFrame, pool: DataFrame, stratum: Sequence[str], k
         size = sizes.select(s.alias(f"s{k}"), F.col("_of").alias(f"_of{k}"))
         draws = draws.join(size, f"s{k}").withColumn(f"_n{k}", F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("_try"), *[q(c) for c in pairs.columns]), F.col(f"_of{k}")))
     for k, name in ((1, "u"), (2, "v")):
-        side = numbered.select(s.alias(f"s{k}"), F.col("_n").cast("bigint").alias(f"_n{k}"), F.struct(*[q(c) for c in key]).alias(name), q(rank).alias(f"_r{k}"))
+        side = pool.select(s.alias(f"s{k}"), F.col("_n").cast("bigint").alias(f"_n{k}"), F.struct(*[q(c) for c in key]).alias(name), q(rank).alias(f"_r{k}"))
         draws = draws.join(side, [f"s{k}", f"_n{k}"])
     valid = draws.where(F.abs(F.col("_r1") - F.col("_r2")) > apart)
     first = valid.groupBy(*[q(c) for c in pairs.columns]).agg(F.min_by(F.struct("u", "v"), "_try").alias("_p"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.tails import normal_sf
 from lattica.operators.regress import moments, solve
+from lattica.operators.skew import numbered
 from lattica.session import q
 
 #: Blocks (positions over block size) are bounded; a table of more is refused rather than sent to tasks.
@@ -39,10 +40,11 @@ def hash_half(seed: int, key: Column) -> Column:
 
 def ranked_halves(df: DataFrame, key: str, by: Sequence[str], seed: int, out: str = "half") -> DataFrame:
     """Keys of each group in two halves that differ by one key at most."""
-    keys = df.select(*[q(c) for c in by], q(key)).distinct()
-    w = Window.partitionBy(*[q(c) for c in by]).orderBy(hash_order(seed, q(key)), q(key))
-    n = F.count("*").over(Window.partitionBy(*[q(c) for c in by]))
-    halves = keys.withColumn("_r", F.row_number().over(w)).withColumn(out, (F.col("_r") > n / 2).cast("int")).drop("_r")
+    keys = df.select(*[q(c) for c in by], q(key)).distinct().withColumn("_h", hash_order(seed, q(key)))
+    keys = numbered(keys, by, ["_h", key], "_r")
+    sizes = keys.groupBy(*[q(c) for c in by]).agg(F.count("*").alias("_n"))
+    sized = keys.join(sizes, list(by)) if by else keys.crossJoin(F.broadcast(sizes))  # one row
+    halves = sized.withColumn(out, (F.col("_r") + 1 > F.col("_n") / 2).cast("int")).drop("_r", "_n", "_h")
     return df.join(halves, [*by, key])
 
 

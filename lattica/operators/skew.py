@@ -72,3 +72,10 @@ def carried_sum(blocks: DataFrame, keys: Sequence[str], order: Sequence[Column],
     before = Window.partitionBy(*ks).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.withColumn("_in", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     return local.join(carry, [*keys, "_block"]).withColumn(out, F.col("_own") + F.col("_in")).drop("_own", "_in")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``df`` with ``out``: the place of each row, from 0, in the order of its key.  ``order`` must not tie."""
+    one = colname(df.columns, base="_one")
+    blocks = ordered_blocks(df.withColumn(one, F.lit(1)), keys, order)
+    return carried_sum(blocks, keys, [q(c) for c in order], one, out).withColumn(out, F.col(out) - 1).drop(one, "_block")
