@@ -398,7 +398,7 @@ def robust_hc3(spark, d):
 
 @query()
 def robust_clusters(spark, d):
-    c = V.pairs(spark, d).where("contact_kr IS NOT NULL AND unit = 'fibro_b'").withColumn("lc", F.ln(F.col("contact_kr") + 1))
+    c = V.pairs(spark, d).where("contact_kr IS NOT NULL").withColumn("lc", F.ln(F.col("contact_kr") + 1))
     return regress.robust(c, "r", ["lc"], "part").select("term", *r6("coef", "se", "ci_low", "ci_high", "p"), "n")
 
 
