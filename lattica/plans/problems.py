@@ -21,6 +21,8 @@ RULES = [
     quality.FieldRule("batch_na", pattern=r"BP-[0-9]{5}", null_rate=0.25, top_share=0.5),
     quality.FieldRule("batch_ge", pattern=r"LCSET-[0-9]{4,5}", null_rate=0.25, top_share=0.5),
 ]
+#: ``sample_attr`` names no other valid values; an id must have the two tokens that make its donor, whatever its spelling.
+SAMPLE_ID = quality.FieldRule("sample_id", pattern=r"[^\p{L}\p{N}]*[\p{L}\p{N}]+(?:[^\p{L}\p{N}]+[\p{L}\p{N}]+)+[^\p{L}\p{N}]*")
 
 
 # ------------------------------------------------------------------------------------------ problem 3
@@ -105,16 +107,28 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(loads.select(F.lit("load").alias("case_kind"), F.col("group_key").cast("bigint").alias("key_id"), F.col("field").alias("field_name")))
 
 
-def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    counts = written(quality.value_counts(table(spark, d, "sample_attr"), RULES, "load_no"), "value_counts")
+def _profile(df: DataFrame, rules: list[quality.FieldRule]) -> DataFrame:
+    counts = written(quality.value_counts(df, rules, "load_no"), "value_counts")
     keep = ["n_rows", "n_null", "n_distinct", "n_invalid", "n_valid", "min_number", "max_number", "min_text", "max_text", "top_value", "top_n"]
     rounded = [F.round(c, 9).alias(c) for c in ("null_rate", "median")]
     return quality.profile(counts).select(F.col("group_key").alias("load_no"), F.col("field").alias("field_name"), *keep, *rounded)
 
 
+def p5_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The four fields with rules, as in its SQL twin; :func:`p5_profile_columns` has every column."""
+    return _profile(table(spark, d, "sample_attr"), RULES)
+
+
+def p5_profile_columns(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "sample_attr")
+    return _profile(df, quality.rules_of(df, [*RULES, SAMPLE_ID], "load_no"))
+
+
 def p5_drift(spark: SparkSession, d: str) -> DataFrame:
-    counts = written(quality.value_counts(table(spark, d, "sample_attr"), RULES, "load_no"), "value_counts")
-    return quality.drift(counts, RULES).select(F.col("group_key").alias("load_no"), F.col("field").alias("field_name"), "load_n", "cells", F.round("psi", 6).alias("psi"), F.round("chi_square", 4).alias("chi_square"))
+    df = table(spark, d, "sample_attr")
+    rules = quality.rules_of(df, [*RULES, SAMPLE_ID], "load_no")
+    counts = written(quality.value_counts(df, rules, "load_no"), "value_counts")
+    return quality.drift(counts, rules).select(F.col("group_key").alias("load_no"), F.col("field").alias("field_name"), "load_n", "cells", F.round("psi", 6).alias("psi"), F.round("chi_square", 4).alias("chi_square"))
 
 
 # ------------------------------------------------------------------------------------------ problem 6
@@ -151,4 +165,4 @@ def p6_count_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 __all__ = ["QUERIES", "SQL"]
-QUERIES = {f.__name__: f for f in (p3_found, p3_sample_burden, p4_found, p4_orphans_by_month, p4_pair_orphans, p5_found, p5_profile, p5_drift, p6_found, p6_mutect2_rows, p6_attribute_rows, p6_count_rows)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_sample_burden, p4_found, p4_orphans_by_month, p4_pair_orphans, p5_found, p5_profile, p5_profile_columns, p5_drift, p6_found, p6_mutect2_rows, p6_attribute_rows, p6_count_rows)}

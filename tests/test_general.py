@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.keys import canonical_gene, canonical_key, leading_tokens
 from lattica.operators import hotkeys, orphans, quality
+from lattica.plans import problems
 from lattica.sources import lines
 
 
@@ -168,6 +169,39 @@ def test_profile_of_an_empty_table(spark):
     assert quality.profile(counts).count() == 0 and quality.departures(counts, RULES).count() == 0
 
 
+def test_every_column_is_profiled_and_compared(spark):
+    rows = [(load, None if i % 5 == 0 else f"GTEX.{load}_{i}" if i % 7 else "GTEX", "liver" if load < 3 else "lung", i / 2, T(10 * load + i % 9), T(i).date()) for load in (1, 2, 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "load int, sample_id string, tissue string, x double, at timestamp_ntz, day date")
+    rules = quality.rules_of(df, [RULES[0], problems.SAMPLE_ID], "load")
+    counts = quality.value_counts(df, rules, "load")
+    got = {(r.group_key, r.field): r for r in quality.profile(counts).collect()}
+    assert set(got) == {(load, f) for load in (1, 2, 3) for f in ("sample_id", "tissue", "x", "at", "day")}
+    for load in (1, 2, 3):
+        mine = [r for r in rows if r[0] == load]
+        g = got[load, "sample_id"]
+        ids = [r[1] for r in mine if r[1] is not None]
+        assert (g.n_null, g.n_distinct, g.n_invalid) == (8, len(set(ids)), ids.count("GTEX"))
+        assert (got[load, "tissue"].top_value, got[load, "tissue"].n_invalid) == (mine[0][2], 0)
+        assert got[load, "x"].n_invalid == sum(not 0 <= r[3] <= 10 for r in mine)
+        seconds = [(r[4] - dt.datetime(1970, 1, 1)).total_seconds() for r in mine]
+        g = got[load, "at"]
+        assert (g.min_text, g.min_number, g["median"]) == (str(min(r[4] for r in mine)), min(seconds), _median(seconds))
+        assert got[load, "day"].max_text == "2025-02-09"
+    drift = {(r.group_key, r.field): r for r in quality.drift(counts, rules).collect()}
+    assert {f for _, f in drift} == {"sample_id", "tissue", "x", "at", "day"}
+    assert drift[3, "tissue"].psi > 5 > drift[1, "day"].psi and drift[3, "at"].psi > 5
+
+
+def test_queries_of_sample_attr_leave_no_column_out(spark, small):
+    want = {c for c in spark.read.parquet(f"{small}/sample_attr.parquet").columns if c != "load_no"}
+    for f in (problems.p5_profile_columns, problems.p5_drift):
+        got = f(spark, small)
+        assert {r.field_name for r in got.select("field_name").distinct().collect()} == want
+    four = {r.name for r in problems.RULES}
+    own, columns = (f(spark, small).where(F.col("field_name").isin(*four)) for f in (problems.p5_profile, problems.p5_profile_columns))
+    assert own.exceptAll(columns).count() == columns.exceptAll(own).count() == 0
+
+
 # ------------------------------------------------------------------------------------------ problem 6
 
 TERMS = ["stop_gained", "intron_variant"]
