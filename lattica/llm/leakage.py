@@ -2,13 +2,14 @@
 
 A positional inverted index over the corpus, distributed by document: every segment (a row of a written
 table) holds the postings of some hundred documents, term by term, for all words that occur in a
-passage.  A search takes, from each stretch of a few words of a passage, its rarest terms by their
-document counts over the whole corpus, shifts each posting list by the term's place in the passage, and
-intersects the shifted lists: where several of them meet, within the drift that edits allow, a copy may
-begin.  Such places are then aligned word by word with the passage, which gives exact and near matches.
+passage.  A search intersects the posting lists of every two neighbouring words of a passage, shifted by
+their places: where both meet, two words of the passage stand together in a document.  A document that
+repeats half of a passage holds many such pairs, wherever its stretches stand and however few words each
+has (:func:`least_paired`); no other document can pass.  The pairs then give the runs of equal words that
+are aligned over the whole document, which gives exact and near matches.
 
-Only the passages, their terms and the terms' counts go to the driver and back to all tasks; they
-are bounded by the test set, which is checked.
+Only the passages go to the driver and back to all tasks; they are bounded by the test set, which is
+checked.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,8 @@ from lattica.session import written
 #: A test set beyond this many words is refused: it is sent to every task.
 MOST_TEST_WORDS = 20_000_000
 SEGMENT_WORDS = 400_000
-#: Of each BLOCK words the RARE rarest are looked up; MEET of them must meet within DRIFT words, and in a
-#: document at least SHARE of all.  A copy of half a passage with one word in eight changed keeps 7/16.
-BLOCK, RARE, MEET, DRIFT, SHARE, GAP = 8, 3, 5, 6, 0.3, 6
+#: Words that may be lost, changed or added between two runs of one stretch.
+GAP = 6
 
 # fixed values: letters of other scripts that look like Latin ones, and their Latin forms
 _ALIKE = str.maketrans("аеорсухіјѕһԁкмтвнзАЕОРСУХІЈЅКМТВНαορντικ", "aeopcyxijshdkmtbh3aeopcyxijskmtbhaopvtik")
@@ -63,8 +62,8 @@ def words_of(text: str | None) -> list[str]:
 
 
 def segments(docs: DataFrame, vocabulary: dict[str, int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Index segments: ids and first word places of the documents, and per term its document count and
-    postings.  Places run through all words of the segment, known or not."""
+    """Index segments: ids and first word places of the documents, and per term its postings.  Places run
+    through all words of the segment, known or not."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def close(ids: list[int], starts: list[int], codes: list[np.ndarray]) -> pa.RecordBatch:
@@ -73,13 +72,10 @@ def segments(docs: DataFrame, vocabulary: dict[str, int], doc_id: str = "doc_id"
         order = np.argsort(seq[place], kind="stable")
         term, place = seq[place][order], place[order]
         terms, first = np.unique(term, return_index=True)
-        owner = np.searchsorted(np.array(starts), place, "right")
-        fresh = np.r_[True, (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])] if len(term) else np.zeros(0, bool)
-        df = np.add.reduceat(fresh.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
         one = lambda x, kind: pa.array([x], pa.list_(kind))
         return pa.RecordBatch.from_arrays(
-            [one(ids, pa.int64()), one(starts + [len(seq)], pa.int32()), one(terms, pa.int32()), one(np.r_[first, len(term)], pa.int32()), one(df, pa.int64()), one(place, pa.int32())],
-            names=["docs", "starts", "terms", "firsts", "df", "places"],
+            [one(ids, pa.int64()), one(starts + [len(seq)], pa.int32()), one(terms, pa.int32()), one(np.r_[first, len(term)], pa.int32()), one(place, pa.int32())],
+            names=["docs", "starts", "terms", "firsts", "places"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,54 +94,47 @@ def segments(docs: DataFrame, vocabulary: dict[str, int], doc_id: str = "doc_id"
         if ids:
             yield close(ids, starts, codes)
 
-    schema = "docs array<bigint>, starts array<int>, terms array<int>, firsts array<int>, df array<bigint>, places array<int>"
+    schema = "docs array<bigint>, starts array<int>, terms array<int>, firsts array<int>, places array<int>"
     return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(run, schema)
 
 
-@dataclass(frozen=True)
-class Query:
-    item: int
-    words: np.ndarray  #: term codes of the passage
-    seeds: np.ndarray  #: places of its rarest terms
-
-
-def plan_queries(passages: list[tuple[int, list[int]]], df: dict[int, int]) -> list[Query]:
-    """For each passage the places of the RARE rarest terms of every BLOCK words.  Terms that occur in no
-    document need no look-up, but their places stay open to edits."""
-    out = []
-    for item, codes in passages:
-        words = np.array(codes, np.int32)
-        size = max(1, min(BLOCK, len(words) // 6))
-        seeds: list[int] = []
-        for at in range(0, len(words), size):
-            inside = [p for p in range(at, min(at + size, len(words))) if df.get(int(words[p]), 0)]
-            seeds += sorted(inside, key=lambda p: (df[int(words[p])], p))[: max(RARE, -(-size * RARE // BLOCK))]
-        out.append(Query(item, words, np.array(sorted(seeds), np.int32)))
-    return out
-
-
-def _runs(p: np.ndarray, d: np.ndarray) -> list[tuple[int, int, int]]:
-    """(place in p, place in d, length) of every maximal run of two or more equal words, or of one between
-    the ends of others on its diagonal."""
-    hit = p[:, None] == d[None, :]
-    pad = np.zeros((len(p) + 1, len(d) + 1), bool)
-    pad[:-1, :-1] = hit
-    begin = hit.copy()
-    begin[1:, 1:] &= ~hit[:-1, :-1]
-    i, j = np.nonzero(begin)
-    length = np.zeros(len(i), np.int64)
-    live = np.arange(len(i))
-    while len(live):
-        live = live[pad[np.minimum(i[live] + length[live], len(p)), np.minimum(j[live] + length[live], len(d))]]
-        length[live] += 1
-    keep = length >= 2
-    return sorted(zip(i[keep].tolist(), j[keep].tolist(), length[keep].tolist()))
+def _pair_keys(words: np.ndarray, terms: int) -> np.ndarray:
+    """One number for every two neighbouring words; -1 where one of them is unknown."""
+    a, b = words[:-1].astype(np.int64), words[1:].astype(np.int64)
+    return np.where((a >= 0) & (b >= 0), a * terms + b, -1)
+
+
+def _meetings(wanted: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``wanted``, place) wherever a wanted key stands among the sorted keys ``key``."""
+    lo, hi = np.searchsorted(key, wanted, "left"), np.searchsorted(key, wanted, "right")
+    n = hi - lo
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    return np.repeat(np.arange(len(wanted)), n), place[at]
+
+
+def _runs(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place in p, place in d, length) of every maximal run of two or more equal words, from the places
+    of all pairs of neighbouring words that are equal."""
+    if not len(i):
+        return []
+    order = np.lexsort((i, j - i))
+    i, j = i[order], j[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(j - i) != 0) | (np.diff(i) != 1)])
+    length = np.diff(np.r_[first, len(i)]) + 1
+    return sorted(zip(i[first].tolist(), j[first].tolist(), length.tolist()))
 
 
 def repeated(p: np.ndarray, d: np.ndarray) -> tuple[int, int]:
     """(words of passage ``p`` that ``d`` repeats in order in at most two stretches, of which are equal).
     Inside a stretch a few words may be lost, changed or added between two runs of equal words."""
-    runs = _runs(p, d)
+    terms = int(max(p.max(initial=0), d.max(initial=0))) + 1
+    key = _pair_keys(d, terms)
+    order = np.argsort(key, kind="stable")
+    return aligned(_runs(*_meetings(_pair_keys(p, terms), key[order], order)))
+
+
+def aligned(runs: list[tuple[int, int, int]]) -> tuple[int, int]:
+    """As :func:`repeated`, from the runs of equal words."""
     best = {1: (0, 0), 2: (0, 0)}
     states: list[dict[int, tuple[int, int]]] = []  # per run: stretches used -> (covered, equal)
     for r, (i, j, n) in enumerate(runs):
@@ -180,49 +169,76 @@ def leaks(cover: int, same: int, n: int) -> bool:
     return 2 * (cover + 2) >= n and 8 * (same + 2) >= 7 * cover
 
 
-def search(index: DataFrame, queries: list[Query]) -> DataFrame:
-    """(doc_id, item_id, words, covered, equal) of every document and passage whose alignment passes."""
-    shared = index.sparkSession.sparkContext.broadcast([(q.item, q.words, q.seeds) for q in queries])
+def least_paired(n: int) -> float:
+    """The fewest words of a passage of ``n`` that stand in runs of two or more in a document that leaks it:
+    by :func:`leaks` at least n / 2 - 2 are covered, and at least 7/8 of those, less two, are equal."""
+    return 7 * (n / 2 - 2) / 8 - 2
+
+
+def _two_stretches(i: np.ndarray, j: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """The documents of which two stretches together can hold :func:`least_paired` words, from their pairs
+    in the order of ``j``.  A stretch has at most GAP words between two runs, so it never goes on beyond
+    more than that without a pair."""
+    if not len(i):
+        return doc
+    fresh = np.r_[True, (np.diff(j) > GAP + 2) | (np.diff(doc) != 0)]
+    at = np.cumsum(fresh) - 1
+    paired = np.zeros((at[-1] + 1, n), bool)
+    paired[at, i] = paired[at, i + 1] = True
+    count, owner = np.count_nonzero(paired, axis=1), doc[fresh]
+    order = np.lexsort((-count, owner))
+    count, owner = count[order], owner[order]
+    first = np.flatnonzero(np.r_[True, np.diff(owner) != 0])
+    second = np.minimum(first + 1, len(owner) - 1)
+    both = count[first] + np.where((second > first) & (owner[second] == owner[first]), count[second], 0)
+    return owner[first][both >= least_paired(n)]
+
+
+def search(index: DataFrame, passages: list[tuple[int, list[int]]]) -> DataFrame:
+    """(doc_id, item_id, words, covered, equal) of every document and passage whose alignment passes.
+    ``passages``: (item, term codes)."""
+    terms = max((max(ws) for _, ws in passages), default=0) + 1
+    plans = [(item, ws, _pair_keys(ws, terms)) for item, ws in ((item, np.array(ws, np.int32)) for item, ws in passages)]
+    wanted = np.unique(np.concatenate([k for _, _, k in plans])) if plans else np.zeros(0, np.int64)
+    shared = index.sparkSession.sparkContext.broadcast((plans, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans, wanted = shared.value
         for b in batches:
             cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             for row in range(b.num_rows):
                 get = lambda name: cols[name][row].values.to_numpy()  # noqa: B023, E731
-                docs, starts, terms, firsts, places = (get(x) for x in ("docs", "starts", "terms", "firsts", "places"))
+                docs, starts, codes, firsts, places = (get(x) for x in ("docs", "starts", "terms", "firsts", "places"))
                 seq = np.full(starts[-1], -1, np.int32)
-                seq[places] = np.repeat(terms, np.diff(firsts))
-                where = {int(t): k for k, t in enumerate(terms)}
+                seq[places] = np.repeat(codes, np.diff(firsts))
+                owner = np.repeat(np.arange(len(docs)), np.diff(starts))
+                # postings of the pairs that stand in a passage, inside one document
+                key = _pair_keys(seq, terms)
+                place = np.flatnonzero((key >= 0) & (owner[:-1] == owner[1:]) & np.isin(key, wanted))
+                place = place[np.argsort(key[place], kind="stable")]
+                key = key[place]
                 out = []
-                for item, passage, seeds in shared.value:
-                    lists, owners = [], []
-                    for o, s in enumerate(seeds):
-                        k = where.get(int(passage[s]))
-                        if k is not None:
-                            lists.append(places[firsts[k] : firsts[k + 1]] - s)
-                            owners.append(np.full(len(lists[-1]), o, np.int32))
-                    if not lists:
-                        continue
-                    shift = np.concatenate(lists)
-                    order = np.argsort(shift, kind="stable")
-                    shift = shift[order]
+                for item, passage, pairs in plans:
                     n = len(passage)
-                    meet = min(MEET, max(1, len(seeds) // 4))
-                    near = np.flatnonzero(shift[meet - 1 :] - shift[: len(shift) - meet + 1] <= DRIFT + n // 16)
-                    if not len(near):
-                        continue
-                    # the lists' members that meet; a document goes on if enough different terms meet in it
-                    open_at = np.bincount(near, minlength=len(shift) + 1) - np.bincount(near + meet, minlength=len(shift) + 1)
-                    met = np.flatnonzero(np.cumsum(open_at[:-1]) > 0)
-                    owner = np.concatenate(owners)[order][met]
-                    off = shift[met]
-                    doc = np.searchsorted(starts, off + seeds[owner], "right") - 1
-                    pairs = np.unique(doc.astype(np.int64) * len(seeds) + owner) // len(seeds)
-                    held, terms_met = np.unique(pairs, return_counts=True)
-                    for d in held[terms_met >= max(meet, SHARE * len(seeds))]:
-                        mine = off[doc == d]
-                        lo, hi = max(int(starts[d]), int(mine.min()) - 12), min(int(starts[d + 1]), int(mine.max()) + n + 12)
-                        cover, same = repeated(passage, seq[lo:hi])
+                    i, j = _meetings(pairs, key, place)
+                    doc = owner[j]
+                    if least_paired(n) > 1:
+                        paired = np.zeros((len(docs), n), bool)
+                        paired[doc, i] = paired[doc, i + 1] = True
+                        held = np.flatnonzero(np.count_nonzero(paired, axis=1) >= least_paired(n))
+                    else:  # too short for pairs to tell: half of its words, with one in eight changed, anywhere
+                        at = np.flatnonzero(np.isin(seq, passage))
+                        words, copies = np.unique(passage, return_counts=True)
+                        there = np.unique(owner[at] * len(words) + np.searchsorted(words, seq[at]))
+                        held = np.flatnonzero(np.bincount(there // len(words), copies[there % len(words)], len(docs)) >= max(1, 7 * n / 16))
+                    mine = np.flatnonzero(np.isin(doc, held))
+                    mine = mine[np.argsort(j[mine], kind="stable")]
+                    i, j, doc = i[mine], j[mine], doc[mine]
+                    if least_paired(n) > 1:
+                        held = _two_stretches(i, j, doc, n)
+                    lo, hi = np.searchsorted(doc, held, "left"), np.searchsorted(doc, held, "right")
+                    for d, a, z in zip(held.tolist(), lo.tolist(), hi.tolist()):
+                        cover, same = aligned(_runs(i[a:z], j[a:z]))
                         if leaks(cover, same, n):
                             out.append((int(docs[d]), item, n, cover, same))
                 if out:
@@ -242,7 +258,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     lists = [(int(r[0]), words_of(r[1])) for r in rows]
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in lists for w in ws}))}
     index = written(segments(docs, vocabulary, doc_id, text), "index")
-    pairs = index.select(F.explode(F.arrays_zip("terms", "df")).alias("t")).groupBy("t.terms").agg(F.sum("t.df").alias("df"))
-    df = {int(r[0]): int(r[1]) for r in pairs.collect()}  # at most the test set's vocabulary
-    queries = plan_queries([(i, [vocabulary[w] for w in ws]) for i, ws in lists if ws], df)
-    return search(index, queries)
+    return search(index, [(i, [vocabulary[w] for w in ws]) for i, ws in lists if ws])

@@ -87,6 +87,28 @@ def test_leaks_are_found_and_quotations_are_not(spark):
     assert leakage.find_leaks(d, q.where("false")).count() == 0
 
 
+def test_half_copies_in_two_far_stretches_are_found(spark):
+    rng = random.Random(11)
+    items = [(k, passage(rng, 50 + k)) for k in range(41)]
+    docs = []
+    for k, text in items:
+        words = leakage.words_of(text)
+        n = len(words)
+        cut = -(-n // 2)
+        short = cut // 2 if k % 2 else rng.randint(n // 6, cut // 2)  # even stretches, and a long and a short one
+        b = rng.randint(short, n - cut + short)
+        docs.append((k, " ".join([noise(rng, 30), *words[:short], noise(rng, 400), *words[b : b + cut - short], noise(rng, 30)])))
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, q).collect()}
+    assert got == {(k, k) for k, _ in items}
+
+
+def test_short_passages_need_half_of_their_words(spark):
+    items = spark.createDataFrame([(1, "kebel"), (2, "lodor mifin"), (3, "nugam rahul sejer tikol")], "item_id long, passage string")
+    docs = spark.createDataFrame([(10, "x kebel y"), (20, "a lodor mifin b"), (30, "c nugam rahul sejer d"), (40, "e tikol f")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(docs, items).collect()} == {(10, 1), (20, 2), (30, 3)}
+
+
 def test_alignment_counts_words_in_order():
     p = np.arange(40)
     assert leakage.repeated(p, np.r_[np.full(5, -1), p, np.full(3, -1)]) == (40, 40)
