@@ -452,10 +452,10 @@ def dosage_residual_covariance(spark, d):
 
 @query()
 def matrix_balance(spark, d):
-    p = V.pairs(spark, d).where("contact_kr > 0 AND bin_distance >= 0")
-    cells = p.groupBy("part", F.pmod(F.xxhash64("g1"), F.lit(40)).cast("int").alias("a"), F.pmod(F.xxhash64("g2"), F.lit(40)).cast("int").alias("b")).agg(F.sum("contact_kr").alias("v"))
-    cells = cells.groupBy("part", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.sum("v").alias("v"))
-    return resid.balance(cells, "part", 30).select("part", "i", "j", F.round("v", 6).alias("v"))
+    """The contacts of each chromosome of each map, between genes, balanced."""
+    p = V.pairs(spark, d).where("contact_kr > 0 AND bin_distance >= 0 AND g1 IS NOT NULL AND g2 IS NOT NULL")
+    cells = p.groupBy(F.struct("unit", "part").alias("map"), F.least("g1", "g2").alias("i"), F.greatest("g1", "g2").alias("j")).agg(F.sum("contact_kr").alias("v"))
+    return resid.balance(cells, "map", 30).select("part.unit", "part.part", "i", "j", F.round("v", 6).alias("v"))
 
 
 # ------------------------------------------------------------------------------------------ bins and ranks

@@ -134,6 +134,31 @@ def test_balanced_rows_have_equal_sums(spark, most):
     assert s.std() / s.mean() < (1e-2 if most == 0 else 1e-6)
 
 
+def test_genes_are_balanced_by_map_and_chromosome(spark, small):
+    from lattica.plans import catalog
+    from lattica.plans import views as V
+
+    got = catalog.matrix_balance(spark, small).toPandas()
+    p = V.pairs(spark, small).where("contact_kr > 0 AND bin_distance >= 0").select("unit", "part", "g1", "g2", "contact_kr").toPandas()
+    p["i"], p["j"] = p[["g1", "g2"]].min(axis=1), p[["g1", "g2"]].max(axis=1)
+    cells = p.groupby(["unit", "part", "i", "j"], as_index=False)["contact_kr"].sum()
+    assert len(got) == len(cells) and set(got.i) | set(got.j) == set(p.g1) | set(p.g2)
+    one = max(cells.groupby(["unit", "part"]), key=lambda x: len(x[1]))
+    f, v = one[1], one[1]["contact_kr"].to_numpy(float)
+    names = sorted({*f.i, *f.j})
+    i, j = f.i.map(names.index).to_numpy(), f.j.map(names.index).to_numpy()
+    for _ in range(30):
+        s = np.array([v[(i == k) | (j == k)].sum() for k in range(len(names))])
+        x = np.sqrt(s / s.mean())
+        v = v / x[i] / x[j]
+    mine = got[(got.unit == one[0][0]) & (got.part == one[0][1])].set_index(["i", "j"])["v"]
+    assert np.allclose([mine[a, b] for a, b in zip(f.i, f.j)], v, atol=2e-6)
+    # the join path on the same genes
+    t = spark.createDataFrame(cells[cells.unit == one[0][0]].rename(columns={"contact_kr": "v"})[["part", "i", "j", "v"]])
+    both = [{(r.part, r.i, r.j): r.v for r in resid.balance(t, "part", 3, most).collect()} for most in (1 << 20, 0)]
+    assert both[0].keys() == both[1].keys() and np.allclose(list(both[0].values()), [both[1][k] for k in both[0]])
+
+
 def test_normalisation(spark):
     rng = np.random.default_rng(7)
     c = rng.integers(0, 60, (8, 6)).astype(float)
