@@ -58,6 +58,25 @@ def lag_profile(signal: DataFrame, max_lag: int, by: Sequence[str] = ("unit",),
     return grid.join(got, [*by, "lag"], "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
 
 
+def gapped_arrays(signal: DataFrame, value: str = "z") -> DataFrame:
+    """(unit, sample, part, x, mask, present): the values of every position of the unit in rank order, 0 where
+    the sample has none; ``mask`` is 1 where it has one, and ``present`` their number."""
+    grid = signal.select(*POSITION).distinct().join(signal.select("unit", "sample").distinct(), "unit")
+    full = grid.join(signal.select("unit", "sample", "part", "rank", q(value).alias("_v")), ["unit", "sample", "part", "rank"], "left")
+    packed = full.groupBy("unit", "sample", "part").agg(F.sort_array(F.collect_list(F.struct("rank", "_v"))).alias("_a"), F.count("_v").alias("present"))
+    x, mask = F.transform("_a", lambda s: F.coalesce(s["_v"], F.lit(0.0))), F.transform("_a", lambda s: s["_v"].isNotNull().cast("double"))
+    return packed.select("unit", "sample", "part", x.alias("x"), mask.alias("mask"), "present")
+
+
+def gapped_profile(arrays: DataFrame, lags: Sequence[int], min_extra: int = 0) -> DataFrame:
+    """(unit, lag, correlation, pairs) from :func:`gapped_arrays` of z values: a value that a sample lacks keeps
+    its place, and no pair is made of it.  Lags without pairs are left out."""
+    keys = ["unit", "sample", "part"]
+    total = lag_products(arrays.select(*keys, "x"), lags, min_extra).groupBy("unit", "lag").agg(F.sum("total").alias("_total"))
+    pairs = lag_products(arrays.select(*keys, F.col("mask").alias("x")), lags, min_extra).groupBy("unit", "lag").agg(F.sum("total").cast("bigint").alias("pairs"))
+    return total.join(pairs, ["unit", "lag"]).where("pairs > 0").select("unit", "lag", (F.col("_total") / F.col("pairs")).alias("correlation"), "pairs")
+
+
 def lag_covariance(signal: DataFrame, max_lag: int, value: str = "dev", by: Sequence[str] = ("unit", "part")) -> DataFrame:
     """(by..., lag, covariance): circular, the sum over positions of products ``lag`` apart with
     wrap-around, averaged over samples."""

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions import bins
-from lattica.functions.keys import canonical_key
-from lattica.operators import fit, interval, lag, pairs, ranks, regress, resample, resid, simulate, store
+from lattica.functions.keys import canonical_gene, canonical_key
+from lattica.operators import fit, interval, lag, pairs, ranks, regress, resample, resid, simulate, spectral, store
 from lattica.operators import signal as sig
 from lattica.plans import views as V
 from lattica.plans.catalog import _ADJ, _adjacent, _norm, query, r6
-from lattica.session import table
+from lattica.session import table, written
 
 # ------------------------------------------------------------------------------------------ pairs
 
@@ -461,14 +461,60 @@ def contact_law_fit(spark, d):
     return fit.per_group(q, ["unit"], ["c", "m", "se"], law, ["r0", "A", "k", "chi2_power", "chi2_hub"]).select("unit", *r6("r0", "A", "k"), F.round("chi2_power", 3).alias("chi2_power"), F.round("chi2_hub", 3).alias("chi2_hub"), "failure")
 
 
+def _gc_track(spark: SparkSession, d: str) -> DataFrame:
+    """(unit, part, rank, covariate): the gc of the gene at each position of ``expr_signal``."""
+    at = table(spark, d, "expr_signal").select("unit", F.col("chr").alias("part"), F.col("gene_rank").alias("rank"), canonical_gene(F.col("gene_id")).alias("gene")).distinct()
+    return at.join(V.genes(spark, d).select("gene", "gc"), "gene").groupBy("unit", "part", "rank").agg(F.avg("gc").alias("covariate"))
+
+
+def _profile_fit(x, y) -> dict[str, float]:
+    # floor: the last third of the lags; fit: their first half (41 to 60 and 1 to 30 where parts are long enough)
+    last = int(x.max())
+    if last < 8:
+        raise ValueError(f"a profile of {last} lags is too short")
+    return {"lags": last} | fit.exponential_fits(x[2 * x <= last], y[2 * x <= last], float(y[3 * x > 2 * last].mean()))
+
+
+def _binned_fit(f, p) -> dict[str, float]:
+    import numpy as np
+
+    edges = np.logspace(np.log10(1 / 1500), np.log10(0.5), 61)
+    at = np.digitize(f, edges) - 1
+    f, p, at = (v[(at >= 0) & (at < 60)] for v in (f, p, at))
+    n, total = np.bincount(at, minlength=60), np.bincount(at, p, 60)
+    on = n > 0
+    if on.sum() < 7 or not (total[on] > 0).all():
+        raise ValueError(f"a spectrum of {on.sum()} bins, {(total[on] > 0).sum()} with power, is too short")
+    return fit.lorentzian_fits(np.sqrt(edges[:-1] * edges[1:])[on], total[on] / n[on], n[on])
+
+
+def _whittle_fit(f, p) -> dict[str, float]:
+    if len(f) < 7 or not (p > 0).all():
+        raise ValueError(f"a spectrum of {len(f)} frequencies, {(p > 0).sum()} with power, is too short")
+    return fit.whittle(f, p)
+
+
 @query()
 def decay_fits(spark, d):
-    x = simulate.simulate_genome(spark, 300, 2, 60, 5.0, seed=7)
-    track = x.select("part", "rank", F.col("gc").alias("covariate")).distinct()
-    s = x.select("unit", "sample", "part", "rank", "value")
-    profile = lag.lag_profile(resid.remove_trend(s, resid.trend_basis(s, track)), 60).where("lag >= 1")
-    one = lambda x, y: fit.exponential_fits(x[:30], y[:30], float(y[40:].mean()))
-    return fit.per_group(profile, ["unit"], ["lag", "correlation"], one, ["length_one", "rss_one", "length_short", "length_long", "rss_two"])
+    """Per unit of ``expr_signal``, normalised and without its genes' gc trend: exponentials fitted to the lag
+    profile, Lorentzians and a power law to the binned spectrum and by Whittle's likelihood to the whole one.
+    Parts need six positions more than a lag, and as many as the first lag needs for the spectrum."""
+    counts = written(V.signal(spark, d), "signal")  # read twice
+    x = written(sig.log2_cpm(sig.expressed(counts, 10)).where("value IS NOT NULL"), "normalised")
+    clean = written(resid.remove_trend(x, resid.trend_basis(x, _gc_track(spark, d))).select(*sig.POSITION, "sample", "value"), "clean")
+    arrays = written(lag.gapped_arrays(sig.zscore(clean, "value", sig.POSITION)), "arrays")
+    profile = lag.gapped_profile(arrays, range(1, 61), 5)
+    # a sample's power over the values it has, averaged over samples
+    spectra = spectral.periodogram(arrays.where((F.col("present") > 0) & (F.size("x") > 6)).drop("mask"), drop_zero=True)
+    power = spectra.groupBy("unit", "part", "k", "n").agg(F.avg(F.col("power") / F.col("present")).alias("power")).withColumn("frequency", F.col("k") / F.col("n"))
+    power = written(power, "spectrum")
+    one = ["lags", "length_one", "rss_one", "length_short", "length_long", "rss_two"]
+    lor, whi = ["length_one", "length_short", "length_long", "exponent", "aic_one", "aic_two", "aic_power"], ["length_one", "length_short", "length_long", "aic_one", "aic_two", "aic_power"]
+    under = lambda df, name: df.select("unit", *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "unit"])
+    a = fit.per_group(profile, ["unit"], ["lag", "correlation"], _profile_fit, one)
+    b = under(fit.per_group(power, ["unit"], ["frequency", "power"], _binned_fit, lor), "lorentzian")
+    c = under(fit.per_group(power.where("2 * k < n"), ["unit"], ["frequency", "power"], _whittle_fit, whi), "whittle")
+    return x.select("unit").distinct().join(a, "unit", "left").join(b, "unit", "left").join(c, "unit", "left")
 
 
 @query()

@@ -303,3 +303,29 @@ def test_parquet_members(spark, tmp_path):
     spark.range(10).withColumn("x", F.col("id") * 2).write.parquet(p)
     keep = spark.createDataFrame([(3,), (3,), (None,), (99,)], "id long")
     assert [tuple(r) for r in readers.parquet(spark, p, ["id", "x"], keep, "id").collect()] == [(3, 6)]
+
+
+def test_decay_fits_follow_the_table(spark, tmp_path):
+    from lattica.plans import catalog_joins
+
+    rng = np.random.default_rng(3)
+    rows, n = [], 160
+    for unit, length in (("near", 2.0), ("far", 8.0), ("alone", 2.0)):
+        for s in range(1 if unit == "alone" else 40):
+            a, v = math.exp(-1 / length), rng.normal()
+            for k in range(n):
+                v = a * v + math.sqrt(1 - a * a) * rng.normal() if k else v
+                if rng.random() > 0.02:  # some values are missing
+                    rows.append((unit, f"GTEX-S{s}", "1", f"ENSG{k:05d}.2", k, float(1000 * 2**v)))
+    spark.createDataFrame(rows, "unit string, sample_id string, chr string, gene_id string, gene_rank int, expr_value double").write.parquet(f"{tmp_path}/expr_signal.parquet")
+    genes = [(k, f"ENSG{k:05d}", "1", k, k + 1, "+", "N", "b", float(40 + 10 * math.sin(k))) for k in range(n)]
+    spark.createDataFrame(genes, "row_id long, gene_id string, chr string, gene_start long, gene_end long, strand string, gene_name string, biotype string, gc double").write.parquet(f"{tmp_path}/gene.parquet")
+    got = {r.unit: r for r in catalog_joins.decay_fits(spark, str(tmp_path)).collect()}
+    assert set(got) == {"near", "far", "alone"} and got["near"].lags == 60
+    for unit, length in (("near", 2.0), ("far", 8.0)):
+        r = got[unit]
+        assert (r.failure, r.lorentzian_failure, r.whittle_failure) == (None, None, None)
+        for found in (r.length_one, r.lorentzian_length_one, r.whittle_length_one):
+            assert 0.6 * length < found < 1.6 * length, (unit, found)
+        assert r.whittle_aic_one < r.whittle_aic_power
+    assert got["alone"].whittle_failure and got["alone"].lorentzian_failure  # one sample has no deviations
