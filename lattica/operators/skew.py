@@ -10,21 +10,31 @@ from pyspark.sql import functions as F
 from lattica.session import BROADCAST_BYTES, colname, parallelism, q, small_enough, written
 
 
+def matches(left: Sequence[str], right: Sequence[str], null_safe: bool = True) -> Column:
+    """That every column of ``left`` equals its partner of ``right``, nulls too if ``null_safe``."""
+    cond = F.lit(True)
+    for a, b in zip(left, right):
+        cond = cond & (q(a).eqNullSafe(q(b)) if null_safe else q(a) == q(b))
+    return cond
+
+
 def salted(left: DataFrame, right: DataFrame, lk: Sequence[str], rk: Sequence[str], base: str) -> tuple[DataFrame, DataFrame, str]:
     """Spread keys that hold more than a partition's share of ``left`` over as many salts as their share
-    needs; ``right`` has those keys' rows once per salt.  The sides then also match on ``{slot}l = {slot}r``.
-    At most as many keys as partitions can be hot, which bounds the list that is broadcast."""
+    needs, equal rows too; ``right`` has those keys' rows once per salt.  The sides then also match on
+    ``{slot}l = {slot}r``.  At most as many keys as partitions can be hot, which bounds the list that is
+    broadcast.  Null keys are spread like others.  Salts follow the place of a row in its partition: ``left`` should
+    be read from files, so that a task run again finds the same places."""
     parts = parallelism(left.sparkSession)
-    counts = left.groupBy(*[q(k) for k in lk]).count()
-    share = max(1, left.count() // parts)
-    hot = counts.where(F.col("count") > share).select(*[q(k) for k in lk], F.ceil(F.col("count") / share).cast("int").alias(f"{base}n"))
-    hot = written(hot, "hot")
+    counts = written(left.groupBy(*[q(k) for k in lk]).agg(F.count("*").alias(f"{base}c")), "key_counts")
+    share = max(1, (counts.agg(F.sum(f"{base}c")).first()[0] or 0) // parts)
+    tags = [f"{base}h{i}" for i in range(len(lk))]
+    hot = counts.where(F.col(f"{base}c") > share).select(*[q(k).alias(t) for k, t in zip(lk, tags)], F.ceil(F.col(f"{base}c") / share).cast("int").alias(f"{base}n"))
     slot = f"{base}z"
-    spread = F.when(F.col(f"{base}n").isNotNull(), F.pmod(F.xxhash64(*[q(c) for c in left.columns]), F.col(f"{base}n"))).otherwise(F.lit(0)).cast("int")
-    left = left.join(F.broadcast(hot), list(lk), "left").withColumn(f"{slot}l", spread)
-    again = hot.select(*[q(a).alias(b) for a, b in zip(lk, rk)], f"{base}n")
-    right = right.join(F.broadcast(again), list(rk), "left").withColumn(f"{slot}r", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"{base}n"), F.lit(1)) - 1)))
-    return left.drop(f"{base}n"), right.drop(f"{base}n"), slot
+    place = F.monotonically_increasing_id()
+    spread = F.when(F.col(f"{base}n").isNotNull(), F.pmod(F.col(f"{base}p"), F.col(f"{base}n"))).otherwise(F.lit(0)).cast("int")
+    left = left.withColumn(f"{base}p", place).join(F.broadcast(hot), matches(lk, tags), "left").withColumn(f"{slot}l", spread)
+    right = right.join(F.broadcast(hot), matches(rk, tags), "left").withColumn(f"{slot}r", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"{base}n"), F.lit(1)) - 1)))
+    return left.drop(f"{base}n", f"{base}p", *tags), right.drop(f"{base}n", *tags), slot
 
 
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES, null_safe: bool = False) -> DataFrame:
