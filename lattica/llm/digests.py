@@ -1,14 +1,19 @@
 """Percentiles of very large numeric columns (problem 2).
 
-A digest of a group is a list of centroids (mean, weight, least, greatest) in order of value.  Values
-are sorted and clustered so that the k-th cluster spans one unit of the size function
+A digest of a group holds, per field, centroids (mean, weight) in order of value.  Values are sorted and
+clustered so that the k-th cluster spans one unit of the size function
 ``k(q) = delta / pi * asin(2q - 1)``: clusters at the median hold up to ``pi / (2 delta)`` of the rows, those
-at the ends single values.  Digests of parts or days merge by sorting their centroids together and
-clustering again.  A second pass over the rows counts, for every estimate, the rows below and at it, which
-certifies its rank error; groups beyond the stated bound are digested again with a larger ``delta``.
+at the ends single values.  A group of no more values than the scale has units keeps them all.  Digests of
+parts or days merge by sorting their centroids together and clustering again.  A second pass over the rows
+counts, for every estimate, the rows below and at it, which certifies its rank error; groups beyond the
+stated bound are digested again with a larger ``delta``, and if none of these suffices the call fails.
 
 NaN and null are no values and are counted apart.  Infinite values count at their end of the order but
-enter no mean.
+enter no mean.  Group keys may be null and then form a group like any other.
+
+A table of digests has the group's columns and one struct per field: ``odd`` (counts of -inf, inf, NaN and
+null; null if all are 0), ``mean``, ``weight`` (null if every centroid is one value) and ``ends`` (least and
+greatest value; null if every centroid is one value).
 """
 
 from __future__ import annotations
@@ -17,222 +22,277 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.skew import lookup, matches
 from lattica.session import colname, q, small_enough, written
 
 DELTA, BOUND = 200, 0.01
 QS = (0.05, 0.25, 0.5, 0.75, 0.95)
-#: Rows held by a task before it clusters what it has; bounds its memory whatever the groups' sizes.
+#: Values or centroids held by a task before it clusters what it has; bounds its memory whatever the groups' sizes.
 FLUSH_ROWS = 400_000
-#: Parts in which the centroids of one group are joined before they are joined as a whole.
-SHARES = 32
+#: Tasks whose digests of one group are joined by one task; with more tasks groups are first joined in parts.
+JOINED = 64
+#: Rounds of digests, each four times finer, before a bound counts as out of reach.
+ROUNDS = 6
+
+_ODD = ("n_low", "n_high", "n_nan", "n_null")
+_SQL = "struct<odd: array<bigint>, mean: array<double>, weight: array<double>, ends: array<double>>"
+_LONGS, _DOUBLES = pa.list_(pa.int64()), pa.list_(pa.float64())
 
 
-def cluster(group: np.ndarray, mean: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.ndarray, delta: float) -> tuple[np.ndarray, ...]:
-    """Centroids of many groups at once, re-clustered.  ``group`` holds integer codes.  The cluster of a
-    centroid is where the middle of its weight falls on the size function's scale."""
-    order = np.lexsort((high, low, mean, group))
-    group, mean, weight, low, high = group[order], mean[order], weight[order], low[order], high[order]
+def cluster(group: np.ndarray, mean: np.ndarray, weight: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centroids (group, mean, weight) of many groups at once, in order of value.  ``group`` holds integer
+    codes.  The cluster of a centroid is where the middle of its weight falls on the size function's scale."""
+    order = np.lexsort((mean, group))
+    group, mean, weight = group[order], mean[order], weight[order]
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(group)]))
+    size = np.diff(np.r_[first, len(group)])
+    if not (size > delta / 2).any():
+        return group, mean, weight
+    run = np.repeat(np.arange(len(first)), size)
     total = np.add.reduceat(weight, first)
     upto = np.cumsum(weight)
     before = upto - weight - (upto[first] - weight[first])[run]
     middle = np.clip((before + weight / 2) / total[run], 0, 1)
-    size = np.diff(np.r_[first, len(group)])
     scale = np.floor(delta / np.pi * np.arcsin(2 * middle - 1)).astype(np.int64)
     # a group with no more centroids than the scale has units keeps them all
     scale = np.where(size[run] <= delta / 2, np.arange(len(group)), scale)
     cut = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (scale[1:] != scale[:-1])])
     w = np.add.reduceat(weight, cut)
-    low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
+    low, high = mean[cut], mean[np.r_[cut[1:], len(mean)] - 1]
     # equal values keep their value exactly, so that ties are found again when ranks are counted
-    mean = np.where(low == high, low, np.add.reduceat(mean * weight, cut) / w)
-    return group[cut], mean, w, low, high
-
-
-def _digest_task(keys: int, fields: Sequence[str], delta: float, flush: int, raw: bool):
-    """A task over Arrow batches: (keys..., values...) if raw, else (keys..., field, mean, weight, least,
-    greatest), to centroids."""
-
-    def emit(names: list[str], batch: pa.Table) -> Iterator[pa.RecordBatch]:
-        cols = [batch.column(i).combine_chunks() for i in range(batch.num_columns)]
-        coded = [c.dictionary_encode() for c in cols[:keys]]
-        code = np.zeros(batch.num_rows, np.int64)
-        for c in coded:
-            index = c.indices.fill_null(len(c.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
-            code = code * (len(c.dictionary) + 1) + index
-        uniq, at, code = np.unique(code, return_index=True, return_inverse=True)
-        if raw:
-            parts = []
-            for k in range(len(fields)):
-                x = cols[keys + k].cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
-                ok = np.isfinite(x)
-                parts.append((code[ok] * len(fields) + k, x[ok]))
-            group = np.concatenate([p[0] for p in parts])
-            mean = np.concatenate([p[1] for p in parts])
-            weight, low, high = np.ones(len(mean)), mean, mean
-        else:
-            names_of = cols[keys].dictionary_encode()
-            pos = np.array([fields.index(f) for f in names_of.dictionary.to_pylist()], np.int64)
-            group = code * len(fields) + (pos[names_of.indices.to_numpy(zero_copy_only=False)] if len(pos) else 0)
-            mean, weight, low, high = (cols[keys + 1 + i].to_numpy(zero_copy_only=False) for i in range(4))
-        if not len(group):
-            return
-        g, m, w, lo, hi = cluster(group, mean, weight, low, high, delta)
-        rows = pa.array(at[g // len(fields)])
-        fields_col = pa.DictionaryArray.from_arrays(pa.array((g % len(fields)).astype(np.int32)), pa.array(list(fields))).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in cols[:keys]], fields_col, pa.array(m), pa.array(w), pa.array(lo), pa.array(hi)], names=names)
+    return group[cut], np.where(low == high, low, np.add.reduceat(mean * weight, cut) / w), w
+
+
+def _codes(cols: Sequence[pa.Array], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each row's group from 0, a row of each group); nulls are keys like others."""
+    code = np.zeros(n, np.int64)
+    for c in cols:
+        coded = c.dictionary_encode()
+        index = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        code = np.unique(code * (len(coded.dictionary) + 1) + index, return_inverse=True)[1]
+    _, at, code = np.unique(code, return_index=True, return_inverse=True)
+    return code, at
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType, null: np.ndarray | None = None) -> pa.Array:
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    mask = None if null is None else pa.array(null)
+    return pa.ListArray.from_arrays(offsets, pa.array(values, kind.value_type), mask=mask)
+
+
+def _struct(groups: int, group: np.ndarray, mean: np.ndarray, weight: np.ndarray, least: np.ndarray, greatest: np.ndarray, odd: np.ndarray) -> pa.StructArray:
+    """The digests of groups 0 .. ``groups`` - 1 from their centroids in order, their ends and odd counts."""
+    sizes = np.bincount(group, minlength=groups)
+    merged = np.bincount(group, weight != 1, groups) > 0
+    none = ~odd.any(axis=1)
+    return pa.StructArray.from_arrays(
+        [
+            _lists(odd[~none].ravel(), np.where(none, 0, len(_ODD)), _LONGS, none),
+            _lists(mean, sizes, _DOUBLES),
+            _lists(weight[merged[group]], np.where(merged, sizes, 0), _DOUBLES, ~merged),
+            _lists(np.column_stack([least, greatest])[merged].ravel(), np.where(merged, 2, 0), _DOUBLES, ~merged),
+        ],
+        names=["odd", "mean", "weight", "ends"],
+    )
+
+
+def _parts(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, means, weights, least, greatest, odd counts) of a column of digests: centroids flat, the rest
+    per row."""
+    odd, mean, weight, ends = column.flatten()
+    sizes = pc.list_value_length(mean).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    means = mean.flatten().to_numpy(zero_copy_only=False)
+    first = np.cumsum(sizes) - sizes
+    merged = weight.is_valid().to_numpy(zero_copy_only=False)
+    weights = np.ones(len(means))
+    weights[np.repeat(merged, sizes)] = weight.flatten().to_numpy(zero_copy_only=False)
+    least, greatest = np.full(len(sizes), np.inf), np.full(len(sizes), -np.inf)
+    some = sizes > 0
+    least[some], greatest[some] = means[first[some]], means[(first + sizes)[some] - 1]
+    two = ends.flatten().to_numpy(zero_copy_only=False)
+    least[merged], greatest[merged] = two[::2], two[1::2]
+    counts = np.zeros((len(sizes), len(_ODD)), np.int64)
+    counts[odd.is_valid().to_numpy(zero_copy_only=False)] = odd.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(_ODD))
+    return sizes, means, weights, least, greatest, counts
+
+
+def _from_values(x: pa.Array, code: np.ndarray, groups: int, delta: float) -> pa.StructArray:
+    null = x.is_null().to_numpy(zero_copy_only=False)
+    v = x.fill_null(0.0).to_numpy(zero_copy_only=False)
+    odd = np.column_stack([np.bincount(code, t, groups).astype(np.int64) for t in (v == -np.inf, v == np.inf, np.isnan(v), null)])
+    ok = np.isfinite(v) & ~null
+    if not ok.any():
+        none = np.zeros(0)
+        return _struct(groups, np.zeros(0, np.int64), none, none, np.zeros(groups), np.zeros(groups), odd)
+    group, mean, weight = cluster(code[ok], v[ok], np.ones(ok.sum()), delta)
+    least, greatest = np.full(groups, np.inf), np.full(groups, -np.inf)
+    np.minimum.at(least, code[ok], v[ok])
+    np.maximum.at(greatest, code[ok], v[ok])
+    return _struct(groups, group, mean, weight, least, greatest, odd)
+
+
+def _from_digests(column: pa.StructArray, code: np.ndarray, groups: int, delta: float) -> pa.StructArray:
+    sizes, means, weights, least, greatest, counts = _parts(column)
+    odd = np.column_stack([np.bincount(code, counts[:, i], groups).astype(np.int64) for i in range(len(_ODD))])
+    low, high = np.full(groups, np.inf), np.full(groups, -np.inf)
+    np.minimum.at(low, code, least)
+    np.maximum.at(high, code, greatest)
+    group, mean, weight = cluster(np.repeat(code, sizes), means, weights, delta) if len(means) else (np.zeros(0, np.int64), means, weights)
+    return _struct(groups, group, mean, weight, low, high, odd)
+
+
+def _table(batches: Sequence[pa.RecordBatch]) -> list[pa.Array]:
+    whole = pa.Table.from_batches(batches)
+    return [c.combine_chunks() for c in whole.columns]
+
+
+def _joined(names: Sequence[str], cols: Sequence[pa.Array], keys: int, delta: float, make) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    code, at = _codes(cols[:keys], len(cols[0]))
+    rows = pa.array(at)
+    return pa.RecordBatch.from_arrays([*[c.take(rows) for c in cols[:keys]], *[make(c, code, len(at), delta) for c in cols[keys:]]], names=list(names)), code, at
+
+
+def _schema(df: DataFrame, by: Sequence[str], fields: Sequence[str]) -> str:
+    return ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by], *[f"`{f}` {_SQL}" for f in fields]])
+
+
+def digest(df: DataFrame, by: Sequence[str], fields: Sequence[str], delta: float = DELTA) -> DataFrame:
+    """One digest per group.  Tasks cluster what they read before anything is shuffled; a group that fills many
+    tasks arrives as their few centroids."""
+    keys = len(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, names = [], 0, None
+        held, n = [], 0
         for b in batches:
-            if names is None:
-                names = [*b.schema.names[:keys], "field", "mean", "weight", "least", "greatest"]
             held.append(b)
             n += b.num_rows
-            if n >= flush:
-                yield from emit(names, pa.Table.from_batches(held))
+            if n >= FLUSH_ROWS:
+                yield _joined(b.schema.names, _table(held), keys, delta, _from_values)[0]
                 held, n = [], 0
         if n:
-            yield from emit(names, pa.Table.from_batches(held))
+            yield _joined(held[0].schema.names, _table(held), keys, delta, _from_values)[0]
 
-    return run
+    raw = df.select(*[q(c) for c in by], *[q(c).cast("double").alias(c) for c in fields])
+    return merge(raw.mapInArrow(run, _schema(df, by, fields)), by, fields, delta)
 
 
-def _schema(df: DataFrame, by: Sequence[str]) -> str:
-    return ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by], "field string, mean double, weight double, least double, greatest double"])
+def merge(digests: DataFrame, by: Sequence[str], fields: Sequence[str], delta: float = DELTA) -> DataFrame:
+    """Digests of the same groups, from parts, days or finer groups, as one per group of ``by``.  A task sees
+    its groups one after another and clusters again whenever it holds enough, so a group of any size needs
+    no more memory than others."""
+    keys = len(by)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows + sum(len(b.column(i).field(1).flatten()) for i in range(keys, b.num_columns))
+            if n >= FLUSH_ROWS:
+                done, code, at = _joined(b.schema.names, _table(held), keys, delta, _from_digests)
+                last = int(code[-1])  # may go on in the next batch
+                rest = np.delete(np.arange(len(at)), last)
+                if len(rest):
+                    yield done.take(pa.array(rest))
+                held, n = [done.slice(last, 1)], 0
+        if held and sum(h.num_rows for h in held):
+            yield _joined(held[0].schema.names, _table(held), keys, delta, _from_digests)[0]
 
-def digest(df: DataFrame, by: Sequence[str], fields: Sequence[str], delta: float = DELTA) -> DataFrame:
-    """(by..., field, mean, weight, least, greatest): one digest per group and field.  Tasks cluster what
-    they read before anything is shuffled; a group that fills many tasks arrives as their few centroids,
-    is merged in shares by a salt, and then as a whole."""
-    raw = df.select(*[q(c) for c in by], *[q(c).cast("double").alias(f) for c, f in zip(fields, fields)])
-    first = raw.mapInArrow(_digest_task(len(by), list(fields), delta, FLUSH_ROWS, True), _schema(df, by))
-    return merge(first, by, fields, delta)
+    cols = [q(c) for c in by]
+    out, schema = digests.select(*cols, *[q(f) for f in fields]), _schema(digests, by, fields)
+    tasks = out.rdd.getNumPartitions()
+    if tasks > JOINED:  # a group's digests from many tasks are first joined in parts
+        part = F.pmod(F.spark_partition_id(), F.lit(-(-tasks // JOINED)))
+        out = out.repartition(*cols, part).sortWithinPartitions(*cols).mapInArrow(run, schema)
+    return out.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(run, schema)
 
 
-def merge(digests: DataFrame, by: Sequence[str], fields: Sequence[str], delta: float = DELTA) -> DataFrame:
-    """Digests of the same groups, from parts, days or finer groups, as one per group of ``by``."""
-    code = _digest_task(len(by), list(fields), delta, FLUSH_ROWS, False)
-    own = digests.select(*[q(c) for c in by], "field", "mean", "weight", "least", "greatest")
-    # a group's centroids from many tasks are first joined in SHARES parts
-    share = F.pmod(F.spark_partition_id(), F.lit(SHARES))
-    parts = own.repartition(*[q(c) for c in by], F.col("field"), share).mapInArrow(code, _schema(digests, by))
-    # and the parts, of at most 2 * delta centroids each, by value order as a whole
-    order = Window.partitionBy(*[q(c) for c in by], "field").orderBy("mean", "least", "greatest")
-    whole = Window.partitionBy(*[q(c) for c in by], "field")
-    scaled = parts.withColumn("_n", F.count("*").over(whole)).withColumn("_w", F.sum("weight").over(whole)).withColumn("_upto", F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    middle = F.least(F.greatest((F.col("_upto") - F.col("weight") / 2) / F.col("_w"), F.lit(0.0)), F.lit(1.0))
-    k = F.when(F.col("_n") <= 2 * delta, F.row_number().over(order)).otherwise(F.floor(F.lit(delta) / F.pi() * F.asin(2 * middle - 1)))
-    equal = F.min("least") == F.max("greatest")  # equal values keep their value exactly
-    return scaled.withColumn("_k", k.cast("long")).groupBy(*[q(c) for c in by], "field", "_k").agg(
-        F.when(equal, F.min("least")).otherwise(F.sum(F.col("mean") * F.col("weight")) / F.sum("weight")).alias("mean"), F.sum("weight").alias("weight"), F.min("least").alias("least"), F.max("greatest").alias("greatest")
-    ).drop("_k")
-
-
-def estimates(digests: DataFrame, infinite: DataFrame, by: Sequence[str], qs: Sequence[float] = QS) -> DataFrame:
-    """(by..., field, n, estimates): the value at each ``q`` of ``qs`` by interpolation between the middles
-    of neighbouring centroids.  ``infinite``: (by..., field, n_low, n_high), the counts of infinite values."""
-    keys = [*by, "field"]
-    cents = digests.groupBy(*[q(c) for c in keys]).agg(F.sort_array(F.collect_list(F.struct("mean", "weight", "least", "greatest"))).alias("c"), F.sum("weight").alias("_finite"))  # at most 2 * delta centroids
-    both = cents.join(infinite, keys, "full") if infinite is not None else cents.withColumns({"n_low": F.lit(0), "n_high": F.lit(0)})
-    both = both.withColumns({"n_low": F.coalesce("n_low", F.lit(0)), "n_high": F.coalesce("n_high", F.lit(0)), "_finite": F.coalesce("_finite", F.lit(0.0))})
-    out = ", ".join([*[f"`{c}` {both.schema[c].dataType.simpleString()}" for c in keys], "n double, estimates array<double>"])
-    points = np.array(qs)
+def estimates(digests: DataFrame, by: Sequence[str], fields: Sequence[str], qs: Sequence[float] = QS) -> DataFrame:
+    """Per group and field a struct (n, estimates): the number of values and the value at each ``q`` of ``qs``, by
+    interpolation between the middles of neighbouring centroids; among single values, between those
+    around the place ``q * (n - 1)``.  Null for a field without values."""
+    keys, points = len(by), np.array(qs, float)
+
+    def one(column: pa.StructArray) -> pa.StructArray:
+        sizes, means, weights, least, greatest, odd = _parts(column)
+        first = np.cumsum(sizes) - sizes
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        finite = np.bincount(group, weights, len(sizes))
+        n = finite + odd[:, 0] + odd[:, 1]
+        at = points[None, :] * np.maximum(n - 1, 0)[:, None] - odd[:, :1]
+        inside = np.clip(at, 0, np.maximum(finite - 1, 0)[:, None])
+        got = np.zeros(at.shape)
+        some = sizes > 0
+        if some.any():
+            k = np.floor(inside[some]).astype(np.int64)
+            top = (sizes[some] - 1)[:, None]
+            a = means[np.minimum(first[some][:, None] + np.minimum(k, top), len(means) - 1)]
+            z = means[np.minimum(first[some][:, None] + np.minimum(k + 1, top), len(means) - 1)]
+            got[some] = a + (z - a) * (inside[some] - k)
+        for i in np.flatnonzero(finite > sizes):  # centroids of several values
+            m, w = means[first[i] : first[i] + sizes[i]], weights[first[i] : first[i] + sizes[i]]
+            got[i] = np.interp(inside[i], np.r_[0.0, np.cumsum(w) - w / 2 - 0.5, finite[i] - 1], np.r_[least[i], m, greatest[i]])
+        got = np.where(at < -0.5, -np.inf, np.where(at > finite[:, None] - 0.5, np.inf, got))
+        found = n > 0
+        return pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), _lists(got.ravel(), np.full(len(n), len(points)), _DOUBLES)], names=["n", "estimates"], mask=pa.array(~found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.schema.names
-            lists = b.column(names.index("c"))
-            flat = lists.flatten()
-            mean, weight, least, greatest = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
-            if lists.null_count:
-                sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
-            starts = np.r_[0, np.cumsum(sizes)]
-            low, high, fin = (b.column(names.index(x)).to_numpy(zero_copy_only=False) for x in ("n_low", "n_high", "_finite"))
-            got = np.empty((b.num_rows, len(points)))
-            for i in range(b.num_rows):
-                a, z = starts[i], starts[i + 1]
-                n = low[i] + fin[i] + high[i]
-                # the place of q among n values, as the middle of a unit weight: 0.5 .. n - 0.5
-                at = points * (n - 1) + 0.5 - low[i]
-                if z > a:
-                    w = weight[a:z]
-                    mids = np.cumsum(w) - w / 2
-                    x = np.interp(at, np.r_[0.5, mids, fin[i] - 0.5], np.r_[least[a], mean[a:z], greatest[z - 1]])
-                else:
-                    x = np.zeros(len(points))
-                got[i] = np.where(at < 0, -np.inf, np.where(at > fin[i], np.inf, x))
-            est = pa.FixedSizeListArray.from_arrays(pa.array(got.ravel()), len(points)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*[b.column(names.index(c)) for c in keys], pa.array(low + fin + high), est], names=[*keys, "n", "estimates"])
-
-    return both.select(*[q(c) for c in keys], "c", F.col("n_low").cast("double").alias("n_low"), F.col("n_high").cast("double").alias("n_high"), "_finite").mapInArrow(run, out)
-
-
-def counts(df: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """(by..., field, n_low, n_high, n_nan, n_null): what of each field is no finite value.  One scan with
-    map-side sums."""
-    x = lambda f: q(f).cast("double")
-    tests = {"n_low": lambda f: x(f) == float("-inf"), "n_high": lambda f: x(f) == float("inf"), "n_nan": lambda f: F.isnan(x(f)), "n_null": lambda f: q(f).isNull()}
-    sums = df.groupBy(*[q(c) for c in by]).agg(*[F.count_if(t(f)).alias(f"{f}__{name}") for f in fields for name, t in tests.items()])
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), *[F.col(f"{f}__{name}").alias(name) for name in tests]) for f in fields])
-    return sums.select(*[q(c) for c in by], F.explode(cells).alias("_c")).select(*[q(c) for c in by], "_c.*")
+            yield pa.RecordBatch.from_arrays([*b.columns[:keys], *[one(b.column(i)) for i in range(keys, b.num_columns)]], names=b.schema.names)
+
+    schema = ", ".join([*[f"`{c}` {digests.schema[c].dataType.simpleString()}" for c in by], *[f"`{f}` struct<n: bigint, estimates: array<double>>" for f in fields]])
+    return digests.select(*[q(c) for c in by], *[q(f) for f in fields]).mapInArrow(run, schema)
 
 
 def certify(df: DataFrame, found: DataFrame, by: Sequence[str], fields: Sequence[str], qs: Sequence[float] = QS) -> DataFrame:
-    """``found`` with ``rank_error``: per estimate, how far ``q * n`` lies outside the ranks that its value
-    has, as a share of n, counted over the rows themselves.  The estimates go to the rows by broadcast if
-    counted small, else by a join on the group; rows return as sums per task and group only."""
-    tag = colname(df.columns, base="_e")
-    wide = found.groupBy(*[q(c) for c in by]).agg(*[F.max(F.when(F.col("field") == f, F.col("estimates"))).alias(f"{tag}_{i}") for i, f in enumerate(fields)])
-    wide, _ = small_enough(written(wide, "estimates"), 64 << 20)
-    wide = wide.withColumnsRenamed({c: f"{tag}k{i}" for i, c in enumerate(by)})
-    on = [q(c).eqNullSafe(F.col(f"{tag}k{i}")) for i, c in enumerate(by)]
-    seen = df.select(*[q(c) for c in by], *[q(f).cast("double").alias(f) for f in fields]).join(wide, on, "inner")
+    """(by..., field, n, estimates, rank_error) from written ``found`` of :func:`estimates`: per group and field, how
+    far ``q * (n - 1)`` at most lies outside the places that an estimate's value has, as a share of n, counted
+    over the rows themselves.  The estimates go to the rows by broadcast if counted small, else by a join
+    in which large groups are salted; rows return as sums per task and group only."""
+    tag = colname(df.columns, found.columns, base="_e")
+    flat = [F.element_at(q(f)["estimates"], j + 1).alias(f"{tag}_{i}_{j}") for i, f in enumerate(fields) for j in range(len(qs))]
+    rows = df.select(*[q(c) for c in by], *[q(f).cast("double").alias(f) for f in fields])
+    seen = lookup(rows, found.select(*[q(c) for c in by], *flat), by, "inner", limit=64 << 20, null_safe=True)
     sums = []
     for i, f in enumerate(fields):
+        x = F.when(~F.isnan(q(f)), q(f))
         for j in range(len(qs)):
-            e = F.element_at(F.col(f"{tag}_{i}"), j + 1)
-            ok = ~F.isnan(q(f))
-            sums += [F.count_if(ok & (q(f) < e)).alias(f"{tag}_{i}_{j}_lt"), F.count_if(ok & (q(f) <= e)).alias(f"{tag}_{i}_{j}_le")]
-    got = seen.groupBy(*[q(c) for c in by]).agg(*sums)
-    cells = F.array(
-        *[F.struct(F.lit(f).alias("field"), F.array(*[F.struct(F.col(f"{tag}_{i}_{j}_lt").alias("lt"), F.col(f"{tag}_{i}_{j}_le").alias("le")) for j in range(len(qs))]).alias("ranks")) for i, f in enumerate(fields)]
-    )
-    ranks = got.select(*[q(c).alias(f"{tag}k{i}") for i, c in enumerate(by)], F.explode(cells).alias("_r")).select(*[f"{tag}k{i}" for i in range(len(by))], F.col("_r.field").alias(f"{tag}f"), F.col("_r.ranks").alias("_ranks"))
-    joined = found.join(ranks, [*on, F.col("field") == F.col(f"{tag}f")])
-    # q stands for the place q * (n - 1) from 0; the estimate's value covers the places lt - 1 .. le
-    errors = F.zip_with(
-        F.col("_ranks"),
-        F.array(*[F.lit(float(x)) for x in qs]),
-        lambda r, p: F.greatest(F.lit(0.0), r["lt"] - 1 - p * (F.col("n") - 1), p * (F.col("n") - 1) - r["le"]) / F.col("n"),
-    )
-    return joined.withColumn("rank_error", F.array_max(errors)).select(*found.columns, "rank_error")
+            e = F.col(f"{tag}_{i}_{j}")
+            sums += [F.count_if(x < e).alias(f"{tag}lt_{i}_{j}"), F.count_if(x <= e).alias(f"{tag}le_{i}_{j}")]
+    got = seen.groupBy(*[q(c) for c in by]).agg(*sums).withColumnsRenamed({c: f"{tag}k{i}" for i, c in enumerate(by)})
+    both = found.join(got, matches(by, [f"{tag}k{i}" for i in range(len(by))]))
+
+    def error(i: int, f: str) -> Column:
+        # q stands for the place q * (n - 1) from 0; the estimate's value covers the places lt - 1 .. le
+        n = q(f)["n"]
+        place = lambda x: F.lit(float(x)) * (n - 1)
+        return F.greatest(F.lit(0.0), *[e / n for j, x in enumerate(qs) for e in (F.col(f"{tag}lt_{i}_{j}") - 1 - place(x), place(x) - F.col(f"{tag}le_{i}_{j}"))])
+
+    cells = [F.struct(F.lit(f).alias("field"), q(f)["n"].alias("n"), q(f)["estimates"].alias("estimates"), error(i, f).alias("rank_error")) for i, f in enumerate(fields)]
+    long = both.select(*[q(c) for c in by], F.explode(F.array(*cells)).alias(f"{tag}c")).where(F.col(f"{tag}c.n").isNotNull())
+    return long.select(*[q(c) for c in by], f"{tag}c.*")
 
 
 def percentiles(df: DataFrame, by: Sequence[str], fields: Sequence[str], qs: Sequence[float] = QS, bound: float = BOUND, delta: float = DELTA) -> tuple[DataFrame, DataFrame]:
     """(digests, results): results have by..., field, n, estimates and the certified rank_error, at most
-    ``bound``; groups that miss it are digested again with four times the ``delta`` until all keep it.
-    Groups without any value of a field have no row for it."""
-    made = written(digest(df, by, fields, delta), "digest")
-    infinite = written(counts(df, by, fields), "infinite")
-    done, todo, results = made, df, None
-    for _ in range(6):
-        found = written(estimates(done, infinite.join(todo.select(*by).distinct(), by, "left_semi") if results is not None else infinite, by, qs).where("n > 0"), "found")
-        sure = written(certify(todo, found, by, fields, qs), "certified")
+    ``bound``.  Groups that miss it are digested again with four times the ``delta``; if any still misses it
+    after ROUNDS rounds, ValueError names how many.  Groups without any value of a field have no row for it."""
+    made, todo, results, again = None, df, None, None
+    for _ in range(ROUNDS):
+        digests = written(digest(todo, by, fields, delta), "digest")
+        made = digests if made is None else made
+        sure = certify(todo, written(estimates(digests, by, fields, qs), "found"), by, fields, qs)
+        if again is not None:  # only the fields that missed the bound
+            sure = lookup(sure, again, [*by, "field"], "inner", null_safe=True)
+        sure = written(sure, "certified")
         good = sure.where(F.col("rank_error") <= bound)
         results = good if results is None else results.unionByName(good)
-        bad = sure.where(F.col("rank_error") > bound).select(*by, "field")
+        bad = sure.where(~(F.col("rank_error") <= bound)).select(*[q(c) for c in by], "field")
         if bad.limit(1).count() == 0:
-            break
-        delta *= 4
-        again = bad.withColumnRenamed("field", "_f")
-        todo = df.join(again.select(*by).distinct(), by, "left_semi")
-        done = written(digest(todo, by, fields, delta).join(again.withColumnRenamed("_f", "field"), [*by, "field"], "left_semi"), "digest")
-        infinite = infinite.join(again.withColumnRenamed("_f", "field"), [*by, "field"], "left_semi")
-    return made, results
+            return made, results
+        again, delta = written(bad, "missed"), delta * 4
+        todo = lookup(df.select(*[q(c) for c in by], *[q(f) for f in fields]), written(again.select(*[q(c) for c in by]).distinct(), "missed"), by, "inner", null_safe=True)
+    raise ValueError(f"{again.count()} groups and fields miss the rank error of {bound} after {ROUNDS} rounds")

@@ -34,7 +34,7 @@ BY, FIELDS = ["cell", "chr", "map_day"], ["oe", "tss_distance", "r"]
 
 def _named(results: DataFrame, by: list[str]) -> DataFrame:
     cols = [F.element_at("estimates", i + 1).alias(f"p{round(100 * x):02d}") for i, x in enumerate(digests.QS)]
-    return results.select(*by, F.col("field").alias("field_name"), F.col("n").cast("bigint").alias("n"), *cols, "rank_error")
+    return results.select(*by, F.col("field").alias("field_name"), "n", *cols, "rank_error")
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -47,11 +47,16 @@ def p2_whole_from_days(spark: SparkSession, d: str) -> DataFrame:
     the rank error is then counted over the rows."""
     df = table(spark, d, "contact").select(*BY, *FIELDS)
     days = written(digests.digest(df, BY, FIELDS), "days")
-    infinite = digests.counts(df, ["cell"], FIELDS)
-    whole = written(digests.estimates(digests.merge(days, ["cell"], FIELDS), infinite, ["cell"]).where("n > 0"), "whole")
+    whole = written(digests.estimates(digests.merge(days, ["cell"], FIELDS), ["cell"], FIELDS), "whole")
     return _named(digests.certify(df, whole, ["cell"], FIELDS), ["cell"])
 
 
+def p2_whole_within_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the percentiles put together from days keep twice the bound of a single digest, with the exact
+    number of values of each cell."""
+    return p2_whole_from_days(spark, d).select("cell", "field_name", "n", (F.col("rank_error") <= 2 * digests.BOUND).alias("within"))
+
+
 # ------------------------------------------------------------------------------------------ problem 7
 
 
@@ -96,9 +101,16 @@ def p9_disclosure(spark: SparkSession, d: str) -> DataFrame:
     return pii.disclosure(table(spark, d, "documents").select("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_group_splits, p2_percentiles, p2_whole_from_days, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_sanitised, p9_disclosure)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_group_splits, p2_percentiles, p2_whole_from_days, p2_whole_within_bound, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_sanitised, p9_disclosure)}
 
 _DONOR = "array_to_string((string_split(trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-'), '-'))[1:2], '-')"
+
+_LONG = " UNION ALL ".join(f"SELECT cell, chr, map_day, '{f}' AS field_name, cast({f} AS double) AS x FROM contact" for f in ("oe", "tss_distance", "r"))
+_AT = "least(greatest({q} * (n - 1) - n_low, 0), len(v) - 1)"
+_VALUE = (
+    "CASE WHEN {q} * (n - 1) - n_low < -0.5 THEN '-inf'::double WHEN {q} * (n - 1) - n_low > len(v) - 0.5 THEN 'inf'::double "
+    f"ELSE v[cast(floor({_AT}) AS bigint) + 1] + (v[least(cast(floor({_AT}) AS bigint) + 2, len(v))] - v[cast(floor({_AT}) AS bigint) + 1]) * ({_AT} - floor({_AT})) END AS p{{name}}"
+)
 SQL = {
     "p1_found": f"""
   WITH RECURSIVE l AS (SELECT {_DONOR.format("donor_a")} AS a, {_DONOR.format("donor_b")} AS b FROM donor_link WHERE link_kind = 're_enrolled'),
@@ -108,4 +120,11 @@ SQL = {
   s AS (SELECT row_id, {_DONOR.format("sample_id")} AS d FROM sample_attr WHERE sample_id IS NOT NULL),
   g AS (SELECT row_id, min(row_id) OVER (PARTITION BY coalesce(r, d)) AS first_row_id FROM s LEFT JOIN root ON root.n = s.d)
   SELECT first_row_id, row_id FROM g WHERE row_id <> first_row_id""",
+    # a digest keeps all values of a group of at most digests.DELTA / 2: at this size, of every group
+    "p2_percentiles": f"""
+  WITH g AS (SELECT cell, chr, map_day, field_name, count(*) AS n, count(*) FILTER (x = '-inf'::double) AS n_low, list_sort(coalesce(list(x) FILTER (isfinite(x)), [])) AS v
+    FROM ({_LONG}) l WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY cell, chr, map_day, field_name)
+  SELECT cell, chr, map_day, field_name, n, {", ".join(_VALUE.format(q=f"{x}::double", name=f"{round(100 * x):02d}") for x in digests.QS)}, 0.0::double AS rank_error FROM g""",
+    "p2_whole_within_bound": f"""
+  SELECT cell, field_name, count(*) AS n, true AS within FROM ({_LONG}) l WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY cell, field_name""",
 }
