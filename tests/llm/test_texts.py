@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lattica.llm import leakage, pii
+from lattica.session import written
 
 # ------------------------------------------------------------------------------------------ problem 8
 
@@ -103,6 +104,80 @@ def test_half_copies_in_two_far_stretches_are_found(spark):
     assert got == {(k, k) for k, _ in items}
 
 
+def _accepted(passage, words):
+    """Whether the alignment alone, without any search, accepts a document."""
+    code = {w: i for i, w in enumerate(sorted(set(passage)))}
+    p = np.array([code[w] for w in passage])
+    d = np.array([code.get(w, -1) for w in words])
+    i, j = np.nonzero((p[:-1, None] == d[None, :-1]) & (p[1:, None] == d[None, 1:]))
+    states = leakage.aligned(leakage._runs(i, j), p, d)
+    return bool(leakage.leaks(states[:, 0], states[:, 1], len(p)).any())
+
+
+@pytest.mark.parametrize("kind", ["one", "two"])
+@pytest.mark.parametrize("edits", ["random", "rarest", "singles"])
+def test_search_finds_all_that_the_alignment_accepts(spark, kind, edits):
+    rng = random.Random(f"{kind} {edits}")
+    # words of very different frequency, so that pairs are shared by many passages
+    stock = WORDS[:12]
+    draw = lambda: rng.choice(stock) if rng.random() < 0.5 else rng.choice(WORDS)
+    items = {k: [draw() for _ in range(rng.randint(18, 150))] for k in range(60)}
+    count = {w: sum(ws.count(w) for ws in items.values()) for w in WORDS}
+    docs = {}
+    for k, ws in items.items():
+        n = len(ws)
+        half = -(-n // 2) + rng.randint(0, 2)
+        if kind == "one":
+            a = rng.randint(0, n - half)
+            body = [ws[a : a + half]]
+        else:
+            short = rng.randint(half // 5, half // 2)
+            b = rng.randint(short, n - half + short)
+            body = [ws[:short], ws[b : b + half - short]]
+        most = half // 8 + rng.randint(-1, 1)
+        places = [(x, y) for x, part in enumerate(body) for y in range(len(part))]
+        if edits == "rarest":
+            chosen = sorted(places, key=lambda xy: count[body[xy[0]][xy[1]]])[: max(0, most)]
+        elif edits == "random":
+            chosen = rng.sample(places, max(0, most))
+        else:  # every second word, so that single words stand between edits
+            chosen = [(0, 2 * y + 3) for y in range(max(0, most)) if 2 * y + 3 < len(body[0]) - 1]
+        body = [list(part) for part in body]
+        for x, y in chosen:
+            body[x][y] = "edited"
+        gap = [draw() for _ in range(rng.choice([3, 40]))]
+        docs[k] = [draw() for _ in range(20)] + body[0] + gap + (body[1] if len(body) > 1 else []) + [draw() for _ in range(20)]
+    d = spark.createDataFrame([(k, " ".join(ws)) for k, ws in docs.items()], "doc_id long, text string")
+    q = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items.items()], "item_id long, passage string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(d.repartition(2), q).collect()}
+    want = {(k, i) for k, words in docs.items() for i, ws in items.items() if _accepted(ws, words)}
+    assert got == want
+    assert len({(k, k) for k in items} & want) >= (0 if edits == "singles" else 45)
+
+
+def test_copies_with_one_changed_word_in_eight_pass_the_alignment():
+    rng = random.Random(5)
+    for n in (20, 56, 89, 131, 148):
+        kept = 0
+        for _ in range(150):
+            ws = [rng.choice(WORDS) for _ in range(n)]
+            doc = list(ws)
+            for k in rng.sample(range(n), n // 8):
+                doc[k] = "edited"
+            kept += _accepted(ws, doc)
+        assert kept >= 149, n
+
+
+def test_an_index_serves_any_passages(spark):
+    rng = random.Random(9)
+    items = [(k, passage(rng, 60)) for k in range(4)]
+    d = spark.createDataFrame([(k, noise(rng, 50) + " " + t) for k, t in items], "doc_id long, text string")
+    index = written(leakage.segments(d), "index")
+    for k, t in items:
+        one = spark.createDataFrame([(k, t)], "item_id long, passage string")
+        assert [(r.doc_id, r.item_id) for r in leakage.find_leaks(d, one, index=index).collect()] == [(k, k)]
+
+
 def test_short_passages_need_half_of_their_words(spark):
     items = spark.createDataFrame([(1, "kebel"), (2, "lodor mifin"), (3, "nugam rahul sejer tikol")], "item_id long, passage string")
     docs = spark.createDataFrame([(10, "x kebel y"), (20, "a lodor mifin b"), (30, "c nugam rahul sejer d"), (40, "e tikol f")], "doc_id long, text string")
