@@ -34,7 +34,7 @@ from lattica.session import written
 
 #: A test set beyond this many words is refused: it is sent to every task.
 MOST_TEST_WORDS = 20_000_000
-SEGMENT_WORDS = 400_000
+SEGMENT_WORDS = 1_000_000
 #: Words that may be lost, changed or added between two runs of one stretch.
 GAP = 6
 
@@ -375,35 +375,40 @@ def _ending(score: np.ndarray) -> np.ndarray:
 
 
 def _two_stretches(i: np.ndarray, j: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """The documents of which two stretches together can pass, from their pairs in the order of ``j``.  A stretch has
-    at most GAP words between two runs, so it never goes on beyond more than that without a pair.  Two
-    stretches that pass have P >= L = :func:`least_paired` paired words and at most U <= P / 3 + 8/3 slack others,
-    so for every x >= 0 they reach (1 + x) P - 3 x U >= L - 8 x slack; the most that any part of the passage
-    reaches with the pairs of a stretch bounds that from above."""
+    """Which pairs, given in the order of ``j``, may belong to two stretches of a document that together pass.  A
+    stretch has at most GAP words between two runs, so it never goes on beyond more than that without a pair.
+    Two stretches that pass have P >= L = :func:`least_paired` paired words and at most U <= P / 3 + 8/3 slack
+    others, so for every x >= 0 they reach (1 + x) P - 3 x U >= L - 8 x slack; the most that any part of the
+    passage reaches with the pairs of a stretch bounds that from above."""
     if not len(i):
-        return doc
+        return np.zeros(0, bool)
     fresh = np.r_[True, (np.diff(j) > GAP + 2) | (np.diff(doc) != 0)]
     at, owner = np.cumsum(fresh) - 1, doc[fresh]
     paired = np.zeros((len(owner), n), bool)  # documents in question only
     paired[at, i] = paired[at, i + 1] = True
+    alive = np.arange(len(owner))
     for x in (0.0, 0.25, 1.0):
-        score = np.where(paired, np.int32(4 + 4 * x), np.int32(-12 * x))
-        upto = np.maximum.accumulate(_ending(score), axis=1)
-        best, twice = upto[:, -1] / 4, upto[:, -1] / 4
-        if x and n > 1:  # both stretches with the same pairs around them
+        score = np.where(paired[alive], np.int32(4 + 4 * x), np.int32(-12 * x))
+        if x:
+            upto = np.maximum.accumulate(_ending(score), axis=1)
             after = np.maximum.accumulate(_ending(score[:, ::-1]), axis=1)[:, ::-1]
-            twice = (upto[:, :-1] + after[:, 1:]).max(axis=1) / 4
-        order = np.lexsort((-best, owner))
-        first = np.flatnonzero(np.r_[True, np.diff(owner[order]) != 0])
-        second = np.minimum(first + 1, len(order) - 1)
-        both = best[order[first]] + np.where((second > first) & (owner[order[second]] == owner[order[first]]), best[order[second]], 0)
-        both = np.maximum(both, np.maximum.reduceat(twice[order], first))
-        held = owner[order[first]][both >= least_paired(n) - 8 * x * slack(n)]
-        mine = np.isin(owner, held)
-        paired, owner = paired[mine], owner[mine]
-        if not len(owner):
+            best, twice = upto[:, -1], (upto[:, :-1] + after[:, 1:]).max(axis=1)  # both with the same pairs around them
+        else:
+            best = twice = score.sum(axis=1)
+        mine = owner[alive]
+        order = np.lexsort((-best, mine))
+        first = np.flatnonzero(np.r_[True, np.diff(mine[order]) != 0])
+        size = np.diff(np.r_[first, len(order)])
+        second = np.where(size > 1, best[order[np.minimum(first + 1, len(order) - 1)]], 0)
+        other = np.repeat(best[order[first]], size)
+        other[first] = second
+        least = 4 * (least_paired(n) - 8 * x * slack(n))
+        alive = alive[np.sort(order[(best[order] + other >= least) | (twice[order] >= least)])]
+        if not len(alive):
             break
-    return np.unique(owner)
+    held = np.zeros(len(owner), bool)
+    held[alive] = True
+    return held[at]
 
 
 def _leaks_in(s: _Segment, wanted: Passages, first: np.ndarray, under: np.ndarray, own: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
@@ -433,9 +438,11 @@ def _leaks_in(s: _Segment, wanted: Passages, first: np.ndarray, under: np.ndarra
         mine = np.flatnonzero(docs[s.owner[j]])
         mine = mine[np.argsort(j[mine], kind="stable")]
         i, j = i[mine], j[mine]
-        doc = s.owner[j]
         if pair:
-            held = _two_stretches(i, j, doc, n)
+            mine = _two_stretches(i, j, s.owner[j], n)
+            i, j = i[mine], j[mine]
+        doc = s.owner[j]
+        held = np.unique(doc)
         lo, hi = np.searchsorted(doc, held, "left"), np.searchsorted(doc, held, "right")
         for d, a, z in zip(held.tolist(), lo.tolist(), hi.tolist()):
             states = aligned(_runs(i[a:z], j[a:z], 2 if pair else 1), passage, s.seq)
