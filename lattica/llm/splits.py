@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lattica.functions.keys import leading_tokens
 from lattica.operators.hotkeys import number_rows
 from lattica.operators.skew import lookup
-from lattica.session import written
+from lattica.session import q, written
 
 #: Totals are held in units so that a bitset has at most this many bits.
 MOST_BITS = 1 << 20
@@ -59,14 +59,10 @@ def grouped(rows: DataFrame, entity: Column, links: DataFrame, a: str, b: str) -
     return tagged.withColumn("_group", F.coalesce("root", "_entity")).drop("_entity", "root")
 
 
-def _closest(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
-    """How many of each size to take so that their total is closest to ``target`` (the smaller of two
-    equally close totals).  Exact while the totals fit MOST_BITS, else in units, then mended greedily."""
-    total = sum(s * m for s, m in sizes)
-    target = max(0, min(target, total))
-    if target == 0:
-        return {}
-    unit = max(1, -(-total // MOST_BITS))
+def _reach(sizes: list[tuple[int, int]], goal: int, unit: int = 1) -> dict[int, int]:
+    """How many of each size to take so that their total, sizes counted in whole ``unit``s, is closest to ``goal``
+    units (the smaller of two equally close totals).  One bitset of reachable totals; multiplicities are
+    split in binary."""
     parts: list[tuple[int, int, int]] = []
     for s, m in sizes:
         k = 1
@@ -75,43 +71,72 @@ def _closest(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
             parts.append((s, n, s * n // unit))
             m, k = m - n, k * 2
     parts.sort(key=lambda p: -p[2])
-    goal = target // unit
-    bits = goal + max(p[2] for p in parts) + 1
+    # no total beyond twice the goal is closer than none at all
+    bits = min(2 * goal, goal + max((p[2] for p in parts), default=0)) + 1
     mask, reach = (1 << bits) - 1, 1
-    first = np.full(bits, -1, np.int32)
+    first = np.full(bits, -1, np.int32)  # the part by which a total was first reached
     for i, (_, _, w) in enumerate(parts):
-        if w == 0:
+        if w == 0 or w >= bits:
             continue
         new = (reach << w) & mask & ~reach
         if new:
             raw = np.frombuffer(new.to_bytes((bits + 7) // 8, "little"), np.uint8)
             first[np.flatnonzero(np.unpackbits(raw, bitorder="little")[:bits])] = i
             reach |= new
+            if first[goal] >= 0:
+                break
     sums = np.concatenate([[0], np.flatnonzero(first >= 0)])
+    at = int(sums[np.argmin(np.abs(sums - goal))])
+    got: dict[int, int] = {}
+    while at > 0:
+        s, n, w = parts[first[at]]
+        got[s] = got.get(s, 0) + n
+        at -= w
+    return got
+
 
-    def taken(at: int) -> dict[int, int]:
-        got: dict[int, int] = {}
-        while at > 0:
-            s, n, w = parts[first[at]]
-            got[s] = got.get(s, 0) + n
-            at -= w
-        return got
-
-    if unit == 1:
-        return taken(int(sums[np.argmin(np.abs(sums - goal))]))
-    # units round sizes down: totals at and below the goal are tried, each filled up by whole groups that
-    # fit, largest first, and the closest counts
+def _closest(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
+    """How many of each size to take so that their total is closest to ``target`` (the smaller of two equally close
+    totals).  Exact while twice the target fits MOST_BITS.  Beyond that, the large groups are taken first, largest
+    first and also in units by a bitset, and what is then missing is filled exactly by a bitset over the
+    small ones, of at most 1/16 of MOST_BITS rows: no total is missed by more than the rows of the smallest
+    group as long as the small groups have as many rows as are missing."""
+    total = sum(s * m for s, m in sizes)
+    target = max(0, min(target, total))
+    if target == 0:
+        return {}
+    if 2 * target < MOST_BITS:
+        return _reach(sizes, target)
+    small = max(1, MOST_BITS // 16)
+    large = [(s, m) for s, m in sizes if s > small]
+    rest = [(s, m) for s, m in sizes if s <= small]
+    unit = -(-2 * target // MOST_BITS)
+    starts = [{}]
+    if large:
+        greedy, left = {}, target
+        for s, m in sorted(large, reverse=True):
+            if n := min(m, left // s):
+                greedy[s], left = n, left - n * s
+        # units round down: goals below the target by what rounding may hide
+        most = sum(min(m, target // s) for s, m in large)
+        starts = [greedy, *[_reach(large, max(0, target - back) // unit, unit) for back in sorted({0, sum(s * m for s, m in rest), unit * min(most, MOST_BITS) // 2})]]
     best: tuple[int, dict[int, int]] | None = None
-    for at in sums[np.argsort(np.abs(sums - goal), kind="stable")][:200]:
-        take = taken(int(at))
-        have = sum(s * n for s, n in take.items())
-        for s, m in sorted(sizes, reverse=True):
-            n = min(m - take.get(s, 0), max(0, (target - have) // s))
-            if n:
-                take[s], have = take.get(s, 0) + n, have + s * n
-        if best is None or abs(have - target) < best[0]:
-            best = abs(have - target), take
-    return best[1] if best else {}
+    for start in starts:
+        take = dict(start)
+        left = target - sum(s * n for s, n in take.items())
+        # the largest of the small ones as long as more is missing than a bitset of the others should hold
+        for s, m in sorted(rest, reverse=True):
+            if left <= 4 * small:
+                break
+            if n := min(m, (left - 2 * small) // s):
+                take[s], left = n, left - n * s
+        if left > 0:
+            for s, n in _reach([(s, m - take.get(s, 0)) for s, m in rest if m > take.get(s, 0)], left).items():
+                take[s] = take.get(s, 0) + n
+                left -= s * n
+        if best is None or abs(left) < best[0]:
+            best = abs(left), take
+    return best[1]
 
 
 def choose(sizes: list[tuple[int, int]], shares: dict[str, float], rest: str) -> dict[int, list[tuple[str, int]]]:
@@ -150,6 +175,20 @@ def assign_splits(groups: DataFrame, shares: dict[str, float], rest: str = "trai
     return placed.join(F.broadcast(table), "size").where("_no >= lo AND _no < hi").select("group", "size", "split")
 
 
+def record_splits(rows: DataFrame, row_id: str, splits: DataFrame) -> DataFrame:
+    """(row_id, split) of every row of ``rows`` (with ``_group``) under the splits of its group.  Rows without a group
+    are groups of their own (:func:`own_group`).  The splits go to the rows by broadcast if counted small, else by a
+    join in which large groups are salted."""
+    tagged = rows.select(q(row_id), own_group(row_id).alias("_own"))
+    table = written(splits.select(F.col("group").alias("_own"), "split"), "splits")
+    return lookup(tagged, table, ["_own"], "inner").select(q(row_id), "split")
+
+
+def own_group(row_id: str) -> Column:
+    """The group of a row; a name of its own for a row without one."""
+    return F.coalesce(F.concat(F.lit("g "), F.col("_group")), F.concat(F.lit("row "), q(row_id).cast("string")))
+
+
 def donor(sample: Column) -> Column:
     return leading_tokens(sample, 2)
 
@@ -163,4 +202,4 @@ def first_of_group(rows: DataFrame, row_id: str) -> DataFrame:
     return lookup(known, firsts, ["_group"], "inner").where("row_id <> first_row_id").select("first_row_id", "row_id")
 
 
-__all__ = ["assign_splits", "choose", "components", "donor", "first_of_group", "grouped"]
+__all__ = ["assign_splits", "choose", "components", "donor", "first_of_group", "grouped", "own_group", "record_splits"]

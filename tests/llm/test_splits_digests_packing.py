@@ -73,6 +73,44 @@ def test_large_totals_use_units(monkeypatch):
     assert abs(sum(s * n for s, n in take.items()) - total // 10) <= 5
 
 
+@pytest.mark.parametrize("most, copies", [(12_000, 1), (3_000, 3)])
+def test_totals_beyond_the_bitset_are_met(most, copies):
+    sizes = [(s, copies) for s in range(1, most + 1)]
+    target = round(0.1 * sum(s * m for s, m in sizes))
+    take = splits._closest(sizes, target)
+    assert all(n <= copies for n in take.values())
+    assert sum(s * n for s, n in take.items()) == target
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_totals_of_hot_groups_beyond_the_bitset_are_close(monkeypatch, seed):
+    monkeypatch.setattr(splits, "MOST_BITS", 1 << 12)
+    rng = random.Random(seed)
+    sizes = dict(sorted({rng.randint(2, 200): rng.randint(1, 30) for _ in range(60)}.items()) + [(rng.randint(10_000, 40_000), 1) for _ in range(4)])
+    total = sum(s * m for s, m in sizes.items())
+    for share in (0.1, 0.3, 0.5):
+        take = splits._closest(sorted(sizes.items()), round(share * total))
+        left = round(share * total) - sum(s * n for s, n in take.items())
+        can = {0}  # the exact answer, by all totals there are
+        for s, m in sizes.items():
+            can = {x + k * s for x in can for k in range(m + 1) if x + k * s <= 2 * share * total} if s > 200 else can
+        small = sum(s * m for s, m in sizes.items() if s <= 200)
+        gap = min(max(0, round(share * total) - x - small, x - round(share * total)) for x in can)  # by the large ones and the small ones' sum
+        assert abs(left) <= gap + min(sizes)
+
+
+def test_records_follow_their_groups(spark):
+    rows = spark.createDataFrame([(i, f"d{i % 40}" if i % 5 else None) for i in range(400)], "row_id long, _group string")
+    groups = rows.groupBy(splits.own_group("row_id").alias("group")).agg(F.count("*").alias("size"))
+    got = splits.record_splits(rows, "row_id", splits.assign_splits(groups, {"test": 0.2})).collect()
+    assert len(got) == 400 and sum(r.split == "test" for r in got) == 80
+    per = {}
+    for r in got:
+        if r.row_id % 5:
+            per.setdefault(r.row_id % 40, set()).add(r.split)
+    assert all(len(x) == 1 for x in per.values())
+
+
 def test_groups_stay_whole_and_shares_hold(spark):
     groups = spark.range(3000).select(F.concat(F.lit("g"), "id").alias("group"), F.when(F.col("id") == 0, 3000).otherwise(1 + F.col("id") % 5).alias("size"))
     got = splits.assign_splits(groups, {"test": 0.1, "validation": 0.1}).collect()
