@@ -66,11 +66,15 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str = "t", partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there, and losing an
     executor costs no recomputation.  The folder is removed when the driver's process ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    return df.sparkSession.read.schema(df.schema).parquet(written_path(df, label, partition_by))
+
+
+def written_path(df: DataFrame, label: str = "t", partition_by: list[str] | None = None) -> str:
+    """The path of ``df`` written as by :func:`written`."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path, partitionBy=partition_by)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_remove, df.sparkSession, path)
+    return path
 
 
 def _remove(spark: SparkSession, path: str) -> None:
