@@ -7,15 +7,17 @@ items of that size.
 
 The plan first fixes, for the largest size left, sets that provably dominate every other choice
 (Martello and Toth): the item alone if nothing fits beside it; the item with a partner that fills the
-container exactly; the item with its largest fitting partner if no three items fit together, or if no
-two smaller items that fit beside it are together larger than that partner and no three fit.  Fixed sets
-leave the instance, which shrinks it, and this repeats.  Best fit, largest first, places the remainder.
+container exactly; the item with its largest fitting partner if no two fit beside it, or if no three do and no
+two that do are together larger than that partner; the item with its largest fitting partner and the
+largest that then fits, if no three fit beside it and these two replace any two that do.  Fixed sets leave
+the instance, which shrinks it, and this repeats.  Best fit, largest first, places the remainder.
 """
 
 from __future__ import annotations
 
 import base64
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.hotkeys import number_rows, read_blocks
-from lattica.session import shared_dir
+from lattica.session import written_path
 
 CAPACITY = 4096
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -79,6 +81,10 @@ class _Counts:
         self.order = sorted(self.n)
 
     def take(self, size: int, k: int) -> None:
+        """Takes ``k`` items of a size away, or puts them back if it is negative."""
+        if size not in self.n:
+            self.n[size] = 0
+            self.order.insert(bisect_right(self.order, size), size)
         self.n[size] -= k
         if not self.n[size]:
             del self.n[size]
@@ -103,9 +109,9 @@ class _Counts:
         return None
 
 
-def _best_two(c: _Counts, room: int, j: int) -> int:
-    """The largest sum of two items, besides one of ``j``, that fits ``room``; 0 if none."""
-    best, lo, hi = 0, 0, bisect_right(c.order, room) - 1
+def _best_two(c: _Counts, room: int, j: int, above: int = 0) -> int:
+    """The largest sum of two items larger than ``above``, besides one of ``j``, that fits ``room``; 0 if none."""
+    best, lo, hi = 0, bisect_right(c.order, above), bisect_right(c.order, room) - 1
     while lo <= hi:
         a, b = c.order[lo], c.order[hi]
         need_a = (a == j) + 1 + (a == b)
@@ -120,6 +126,32 @@ def _best_two(c: _Counts, room: int, j: int) -> int:
     return best
 
 
+def _dominating(c: _Counts, j: int, capacity: int) -> tuple[int, ...] | None:
+    """Items that with ``j`` dominate every other set of a container with ``j``: any such set can be divided so that
+    each part fits in the place of one of them.  None if no such set of at most three is known."""
+    room = capacity - j
+    k = c.largest(room, without=j)
+    if k is None:  # nothing fits beside it
+        return ()
+    if k == room:
+        return (k,)
+    two, three = c.smallest(2, j), c.smallest(3, j)
+    if two is None or two > room:
+        return (k,)
+    if three is not None and three <= room:
+        return None
+    # beside j at most two items fit: x alone, x <= k, or x and y
+    if _best_two(c, room, j) <= k:
+        return (k,)
+    c.take(k, 1)
+    b = c.largest(room - k, without=j)
+    c.take(k, -1)
+    # k and b replace x and y if y <= b, or if both go where k is
+    if b is not None and _best_two(c, room, j, above=b) <= k:
+        return (k, b)
+    return None
+
+
 def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """The plan for ``histogram`` (size to number of items, 1 <= size <= capacity)."""
     c, plan = _Counts(dict(histogram)), Plan(capacity)
@@ -127,28 +159,17 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     while changed and c.order:
         changed = False
         for j in reversed(list(c.order)):
-            if j not in c.n:
+            partners = _dominating(c, j, capacity) if j in c.n else None
+            if partners is None:
                 continue
-            room = capacity - j
-            k = c.largest(room, without=j)
-            if k is None:  # nothing fits beside it
-                plan.groups.append((c.n[j], {j: 1}))
-                c.take(j, c.n[j])
+            # taking a dominating set leaves fewer others to compare, so it stays one while its items last
+            has = dict(Counter((j, *partners)))
+            m = min(c.n[s] // per for s, per in has.items())
+            if m:
+                plan.groups.append((m, has))
+                for s, per in has.items():
+                    c.take(s, m * per)
                 changed = True
-                continue
-            two, three = c.smallest(2, j), c.smallest(3, j)
-            exact = k == room
-            pair = two is None or two > room or ((three is None or three > room) and _best_two(c, room, j) <= k)
-            if exact or pair:
-                m = c.n[j] // 2 if j == k else min(c.n[j], c.n[k])
-                if not exact:
-                    m = min(m, 1 if j != k else m) if not (two is None or two > room) else m
-                if m:
-                    plan.groups.append((m, {j: 2} if j == k else {j: 1, k: 1}))
-                    c.take(j, 2 * m if j == k else m)
-                    if j != k:
-                        c.take(k, m)
-                    changed = True
     plan.fixed = plan.containers
     # best fit, largest first, on what is left: open containers by the room they have
     rooms: dict[int, list[tuple[int, dict[int, int]]]] = {}
@@ -204,11 +225,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER)
     """(items, plan): items are (doc_id, piece, n_tokens, container_id); every text is whole in one
     container unless it alone exceeds the capacity.  Texts without tokens need no room and have a null
     container.  plan has (containers, fixed, lower_bound, tokens, capacity).  No texts: no items."""
-    import uuid
-
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/items-{uuid.uuid4().hex[:12]}"
-    items_of(token_counts(docs, tokenizer=tokenizer), capacity).write.parquet(path)
+    path = written_path(items_of(token_counts(docs, tokenizer=tokenizer), capacity), "items")
     items = spark.read.schema("doc_id bigint, piece int, n_tokens int").parquet(path)
     histogram = {int(r[0]): int(r[1]) for r in items.where("n_tokens > 0").groupBy("n_tokens").count().collect()}  # at most ``capacity`` rows
     plan = plan_packing(histogram, capacity)

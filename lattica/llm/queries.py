@@ -89,6 +89,17 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return summary.withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity")))
 
 
+def p7_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Texts placed, containers above their capacity, texts within it that are parted, texts of tokens without a
+    container, and whether the containers' numbers have gaps."""
+    placed = written(packing.pack(table(spark, d, "documents").select("doc_id", "text"))[0], "placed")
+    per_text = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.count_if(F.col("container_id").isNull() & (F.col("n_tokens") > 0)).alias("lost"))
+    texts = per_text.agg(F.count("*").alias("texts"), F.count_if((F.col("n") <= packing.CAPACITY) & (F.col("pieces") > 1)).alias("parted"), F.coalesce(F.sum("lost"), F.lit(0)).alias("lost"))
+    full = placed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    whole = full.agg(F.count_if(F.col("n") > packing.CAPACITY).alias("above"), (F.coalesce(F.max("container_id"), F.lit(-1)) + 1 - F.count("*")).alias("gaps"))
+    return texts.crossJoin(F.broadcast(whole))  # one row each
+
+
 # ------------------------------------------------------------------------------------------ problem 8
 
 
@@ -119,7 +130,7 @@ def p9_disclosure(spark: SparkSession, d: str) -> DataFrame:
     return pii.disclosure(table(spark, d, "documents").select("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_group_splits, p1_record_splits, p1_split_totals, p2_percentiles, p2_whole_from_days, p2_whole_within_bound, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_sanitised, p9_disclosure)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_group_splits, p1_record_splits, p1_split_totals, p2_percentiles, p2_whole_from_days, p2_whole_within_bound, p7_containers, p7_fill, p7_rules, p8_found, p8_leaks, p9_found, p9_sanitised, p9_disclosure)}
 
 _DONOR = "array_to_string((string_split(trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-'), '-'))[1:2], '-')"
 
@@ -149,4 +160,5 @@ SQL = {
     "p1_split_totals": """
   WITH n AS (SELECT count(*) AS n, cast(floor(0.1 * count(*) + 0.5) AS bigint) AS part FROM sample_attr)
   SELECT split, CASE split WHEN 'train' THEN n - 2 * part ELSE part END AS n_rows, cast(0 AS bigint) AS parted_groups FROM n, (VALUES ('test'), ('validation'), ('train')) s(split)""",
+    "p7_rules": "SELECT count(*) AS texts, cast(0 AS bigint) AS parted, cast(0 AS bigint) AS lost, cast(0 AS bigint) AS above, cast(0 AS bigint) AS gaps FROM documents",
 }

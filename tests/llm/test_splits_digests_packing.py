@@ -310,3 +310,10 @@ def test_tokens_are_those_of_the_vocabulary(spark):
     t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     t.encode_special_tokens = True
     assert n == len(t.encode(text, add_special_tokens=False).ids)
+
+
+def test_three_items_that_dominate_are_fixed():
+    plan = packing.plan_packing({60: 2, 21: 2, 18: 2, 15: 1}, 100)
+    assert (2, {60: 1, 21: 1, 18: 1}) in plan.groups and plan.containers == 3
+    # 19 and 19 fill more than 21 and 15 do, so nothing is fixed for 60 at first
+    assert packing._dominating(packing._Counts({60: 1, 22: 1, 20: 2, 17: 1}), 60, 100) is None
