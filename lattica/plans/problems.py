@@ -101,9 +101,11 @@ def p4_pair_orphans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and loads, both from the value counts: invalid values are told there and looked up in the rows, loads are
+    compared by the profile that comes of the counts."""
     df = table(spark, d, "sample_attr")
-    _, loads = quality.drifted_profile(df, RULES, "load_no")
-    rows = quality.invalid_rows(df, RULES, "row_id").select(F.lit("row").alias("case_kind"), "key_id", "field_name")
+    counts, loads = quality.drifted_profile(df, RULES, "load_no")
+    rows = quality.invalid_rows(df, counts, RULES, "row_id").select(F.lit("row").alias("case_kind"), "key_id", "field_name")
     return rows.unionByName(loads.select(F.lit("load").alias("case_kind"), F.col("group_key").cast("bigint").alias("key_id"), F.col("field").alias("field_name")))
 
 

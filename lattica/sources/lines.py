@@ -50,14 +50,12 @@ class Feed:
 
 
 def _fits(cell: Cell, text: pa.Array) -> pa.Array:
-    ok = pa.array([True]) if len(text) == 0 else None
-    if ok is not None:
+    if not len(text):
         return pa.array([], pa.bool_())
     good = pc.match_substring_regex(text, cell.pattern) if cell.pattern else pc.greater_equal(pc.utf8_length(text), 0)
     if cell.terms is not None:
         parts = pc.split_pattern(text, ";")
         flat = pc.is_in(parts.flatten(), value_set=pa.array(cell.terms, pa.string()))
-        bad = pa.array([False] * 0)
         owner = pc.list_parent_indices(parts)
         bad = pc.unique(owner.filter(pc.invert(flat)))
         good = pc.and_(good, pc.invert(pc.is_in(pa.array(range(len(text)), owner.type), value_set=bad)))
@@ -70,9 +68,17 @@ def _fits(cell: Cell, text: pa.Array) -> pa.Array:
     return good
 
 
+def _stand_ins(texts: pa.Array, wanted: list[str]) -> dict[str, str]:
+    """For each of the ``wanted`` characters that occurs in ``texts`` another one that does not."""
+    there = [c for c in wanted if pc.any(pc.match_substring(texts, c)).as_py()]
+    free = (chr(c) for c in (*range(0xE000, 0xF900), *range(0xF0000, 0x10FFFE)) if not pc.any(pc.match_substring(texts, chr(c))).as_py())
+    return dict(zip(there, free))
+
+
 def parse_batch(feed: Feed, texts: pa.Array) -> tuple[list[str | None], list[str | None], list[list[str] | None]]:
     """(reason, unfit cells, fields) of each line; reason None for a valid one.  A null line counts as an
-    empty one, and a final carriage return is no part of a line."""
+    empty one, and a final carriage return is no part of a line.  All other characters, line breaks too, are
+    data and come out as they are."""
     n, sep = len(texts), feed.separator
     texts = pc.fill_null(texts, "")
     texts = pc.replace_substring_regex(texts, r"\r\z", "")
@@ -82,7 +88,9 @@ def parse_batch(feed: Feed, texts: pa.Array) -> tuple[list[str | None], list[str
     fields: list[list[str] | None] = [None] * n
     numbers = pa.array(range(n), pa.int64())
     # line breaks inside a line are data here; the parser must not see them
-    safe = pc.replace_substring(pc.replace_substring(texts, "\n", "\x1e"), "\r", "\x1f")
+    hidden, safe = _stand_ins(texts, ["\n", "\r", "\0"]), texts
+    for c, other in hidden.items():
+        safe = pc.replace_substring(safe, c, other)
     lines = pc.binary_join_element_wise(pc.cast(numbers, pa.string()), safe, sep).filter(fine)
     if not len(lines):
         return reason, labels, fields
@@ -105,13 +113,18 @@ def parse_batch(feed: Feed, texts: pa.Array) -> tuple[list[str | None], list[str
     text = {c.name: pc.utf8_trim(read.column(c.name).combine_chunks(), " ") for c in feed.cells}
     good = {c.name: _fits(c, text[c.name]).to_pylist() for c in feed.cells if c.pattern or c.terms or c.low is not None}
     whole = {c.name: pc.if_else(pa.array(good[c.name]), text[c.name], pa.scalar("0")).to_pylist() for c in feed.cells if any(c.name in pair for pair in feed.ordered)}
-    columns = [x.to_pylist() for x in (read.column(c.name).combine_chunks() for c in feed.cells)]
+    columns = []
+    for c in feed.cells:
+        column = read.column(c.name).combine_chunks()
+        for own, other in hidden.items():
+            column = pc.replace_substring(column, other, own)
+        columns.append(column.to_pylist())
     for k, i in enumerate(at):
         bad = [name for name, ok in good.items() if not ok[k]]
         for a, b in feed.ordered:
             if good[a][k] and good[b][k] and int(whole[a][k]) > int(whole[b][k]):
                 bad += [x for x in (a, b) if x not in bad]
-        fields[i] = [col[k].replace("\x1e", "\n").replace("\x1f", "\r") for col in columns]
+        fields[i] = [col[k] for col in columns]
         if bad:
             reason[i], labels[i] = "value", ",".join(bad)
     return reason, labels, fields

@@ -303,3 +303,12 @@ def test_fields_agree_with_a_csv_reader():
     feed = lines.feeds_of_project(TERMS)[1]
     _, _, fields = lines.parse_batch(feed, pa.array([BASE["sample_attributes"]]))
     assert fields[0] == next(csv.reader(io.StringIO(BASE["sample_attributes"])))
+
+
+def test_every_character_of_a_valid_line_comes_out():
+    feed = lines.Feed("f", ",", (lines.Cell("a"), lines.Cell("b")))
+    chars = [chr(c) for c in range(0x80) if chr(c) not in ',"'] + ["\x85", "\u2028", "\ue000", "\ue001", "\U0010ffff"]
+    texts = [f"A{c}B,x{c}y" for c in chars] + ['"q\n""z,\x1e",\x1f']
+    reason, _, fields = lines.parse_batch(feed, pa.array(texts))
+    assert reason == [None] * len(texts)
+    assert fields == [[f"A{c}B", f"x{c}y"] for c in chars] + [['q\n"z,\x1e', "\x1f"]]
