@@ -9,17 +9,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.skew import carried_last, carried_sum, numbered, ordered_blocks, salted
-from lattica.session import q, small_enough, written
+from lattica.session import colname, q, small_enough, written
 
 
 def _binned(df: DataFrame, lo: Column, hi: Column, width: float, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))))
 
 
+def _in_bins(left: DataFrame, right: DataFrame, lk: Sequence[str], rk: Sequence[str]) -> tuple[DataFrame, DataFrame, Column, list[str]]:
+    """The sides of a join on bins, its condition and the columns to drop after it.  ``right`` is broadcast if counted
+    small; else bins that hold more than a partition's share of ``left`` are salted."""
+    right, small = small_enough(written(right, "binned"))
+    cond, drop = F.lit(True), list(rk)
+    if not small:
+        left, right, slot = salted(left, right, lk, rk, "_pi")
+        cond, drop = F.col(f"{slot}l") == F.col(f"{slot}r"), [*drop, f"{slot}l", f"{slot}r"]
+    for a, b in zip(lk, rk):
+        cond = cond & (left[a] == F.col(b))
+    return left, right, cond, drop
+
+
 def points_in_intervals(points: DataFrame, intervals: DataFrame, on: Sequence[str], at: str, start: str, end: str, width: float, how: str = "inner", closed: str = "both") -> DataFrame:
     """Every point with every interval of the same ``on`` that holds it.  ``closed``: both ends, or
     'neither'.  Points without a place, empty and null intervals match nothing; ``how='left'`` keeps
@@ -30,16 +43,9 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, on: Sequence[st
     keys = [f"_k{i}" for i in range(len(on))]
     side = side.select(*[q(c).alias(k) for c, k in zip(on, keys)], "_bin", *[q(c) for c in side.columns if c not in on and c != "_bin"])
     pts = points.withColumn("_pbin", F.floor(p / width))
-    side, small = small_enough(written(side, "intervals"))
-    cond, drop = F.lit(True), ["_bin", "_pbin", *keys]
-    if not small:  # a place that most points share is salted
-        pts, side, slot = salted(pts, side, [*on, "_pbin"], [*keys, "_bin"], "_pi")
-        cond, drop = F.col(f"{slot}l") == F.col(f"{slot}r"), [*drop, f"{slot}l", f"{slot}r"]
-    cond = cond & (F.col("_pbin") == F.col("_bin"))
-    for c, k in zip(on, keys):
-        cond = cond & (pts[c] == F.col(k))
+    pts, side, cond, drop = _in_bins(pts, side, [*on, "_pbin"], [*keys, "_bin"])
     inside = (p >= side[start]) & (p <= side[end]) if closed == "both" else (p > side[start]) & (p < side[end])
-    return pts.join(side, cond & inside, how).drop(*drop)
+    return pts.join(side, cond & inside, how).drop("_pbin", *drop)
 
 
 def as_of(points: DataFrame, events: DataFrame, on: Sequence[str], at: str, start: str, fields: Sequence[str], tie: Sequence[str] = (), until: str | None = None) -> DataFrame:
@@ -99,9 +105,7 @@ def range_pairs(points: DataFrame, on: Sequence[str], at: str, key: str, reach:
     known = points.where(q(at).isNotNull())
     a = known.select(*[q(c).alias(f"_a{i}") for i, c in enumerate(on)], *[q(c).alias(f"{c}1") for c in cols]).withColumn("_bin", F.explode(F.array(F.floor(F.col(f"{at}1") / reach), F.floor(F.col(f"{at}1") / reach) + 1)))
     b = known.select(*[q(c).alias(f"_b{i}") for i, c in enumerate(on)], *[q(c).alias(f"{c}2") for c in cols]).withColumn("_bin2", F.floor(F.col(f"{at}2") / reach))
-    cond = F.col("_bin") == F.col("_bin2")
-    for i in range(len(on)):
-        cond = cond & (F.col(f"_a{i}") == F.col(f"_b{i}"))
+    a, b, cond, _ = _in_bins(a, b, [*[f"_a{i}" for i in range(len(on))], "_bin"], [*[f"_b{i}" for i in range(len(on))], "_bin2"])
     gap = F.col(f"{at}2") - F.col(f"{at}1")
     cond = cond & (gap <= reach) & ((gap > 0) | ((gap == 0) & (F.col(f"{key}1") < F.col(f"{key}2"))))
     return a.join(b, cond).select(*[F.col(f"_a{i}").alias(c) for i, c in enumerate(on)], *[f"{c}1" for c in cols], *[f"{c}2" for c in cols])
@@ -121,21 +125,24 @@ def overlap_unique(a: DataFrame, b: DataFrame, on: Sequence[str], start: str, en
     left = _binned(a.where(q(start) <= q(end)), q(start), q(end), width, "_bin")
     right = b.where(q(start) <= q(end)).select(*[q(c).alias(f"_k{i}") for i, c in enumerate(on)], q(start).alias("_s"), q(end).alias("_e"), *[q(c).alias(f"_f{i}") for i, c in enumerate(fields)])
     right = _binned(right, F.col("_s"), F.col("_e"), width, "_bin2")
-    cond = (F.col("_bin") == F.col("_bin2")) & (q(start) <= F.col("_e")) & (q(end) >= F.col("_s"))
-    for i, c in enumerate(on):
-        cond = cond & (q(c) == F.col(f"_k{i}"))
+    left, right, cond, _ = _in_bins(left, right, [*on, "_bin"], [*[f"_k{i}" for i in range(len(on))], "_bin2"])
+    cond = cond & (left[start] <= F.col("_e")) & (left[end] >= F.col("_s"))
     # an overlap is seen in each bin that both touch: the first such bin counts
-    cond = cond & (F.col("_bin") == F.greatest(F.floor(q(start) / width), F.floor(F.col("_s") / width)))
+    cond = cond & (F.col("_bin") == F.greatest(F.floor(left[start] / width), F.floor(F.col("_s") / width)))
     met = left.join(right, cond)
-    hits = met.groupBy(q(key)).agg(F.count("*").alias("_n"), F.first(F.struct(*[f"_f{i}" for i in range(len(fields))])).alias("_one")).where("_n = 1")
+    hits = met.groupBy(left[key]).agg(F.count("*").alias("_n"), F.first(F.struct(*[f"_f{i}" for i in range(len(fields))])).alias("_one")).where("_n = 1")
     return a.join(hits.select(q(key), *[F.col("_one")[f"_f{i}"].alias(c) for i, c in enumerate(fields)]), key)
 
 
 def density(points: DataFrame, on: Sequence[str], at: str, reach: int, out: str = "density") -> DataFrame:
     """``points`` with the number of points of the same ``on`` at most ``reach`` away, itself included.  ``at`` is
-    a whole number (double a half-integer place first)."""
-    w = Window.partitionBy(*[q(c) for c in on]).orderBy(q(at).cast("bigint")).rangeBetween(-reach, reach)
-    return points.where(q(at).isNotNull()).withColumn(out, F.count("*").over(w))
+    a whole number (double a half-integer place first).  Both ends are counted by running sums over ordered
+    blocks, so a part of any size is no single task."""
+    lo, hi, below, upto = (colname(points.columns, base=x) for x in ("_lo", "_hi", "_below", "_upto"))
+    known = points.where(q(at).isNotNull()).withColumns({lo: q(at).cast("bigint") - reach, hi: q(at).cast("bigint") + reach + 1})
+    places = known.select(*[q(c) for c in on], q(at).cast("bigint").alias("_place"))
+    both = events_before(events_before(known, places, on, lo, "_place", below), places, on, hi, "_place", upto)
+    return both.withColumn(out, q(upto) - q(below)).drop(lo, hi, below, upto)
 
 
 def nearest_tolerance(a: DataFrame, b: DataFrame, on: Sequence[str], place: str, other: str, tolerance: int, out: str) -> DataFrame:

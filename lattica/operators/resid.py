@@ -8,33 +8,65 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.signal import POSITION
 from lattica.session import q, small_enough, written
 
 
-def polynomial_basis(g: np.ndarray, degree: int = 2) -> np.ndarray:
-    """An orthonormal basis of 1, g, .. g^degree (g standardised), of the rank the values really have."""
-    g = np.asarray(g, float)
-    g = (g - g.mean()) / g.std() if g.std() > 0 else np.zeros_like(g)
-    u, s, _ = np.linalg.svd(np.vander(g, degree + 1, increasing=True), full_matrices=False)
-    return u[:, s > s[0] * 1e-10 * max(len(g), degree + 1)]
+def _orthonormal(gram: np.ndarray, least: float = 1e-10) -> np.ndarray:
+    """Coefficients (sets, k, i), zero for i > k, of functions sum_i c[k, i] f_i that are orthonormal where the
+    f_i have the inner products ``gram`` (sets, i, j).  Functions that depend on those before them are 0."""
+    sets, p, _ = gram.shape
+    made = np.zeros((sets, p, p))
+    for k in range(p):
+        v = np.zeros((sets, p))
+        v[:, k] = 1
+        for _ in range(2):  # again, for what rounding left
+            v -= np.einsum("ski,sij,sj,skl->sl", made, gram, v, made)
+        norm = np.einsum("si,sij,sj->s", v, gram, v)
+        ok = norm > least * np.maximum(gram[:, k, k], 0)
+        made[ok, k] = v[ok] / np.sqrt(norm[ok])[:, None]
+    return made
+
+
+def _basis(rows: DataFrame, by: Sequence[str], functions: Sequence[Column], keep: Sequence[str]) -> DataFrame:
+    """``rows`` (columns ``keep``) with q0, q1, ..: functions of the rows, orthonormal over the rows of each ``by``, spanning
+    the given ones in their order.  The inner products are summed where the rows are; only these few numbers per
+    group are worked on in Python."""
+    p, keys = len(functions), list(by)
+    f = rows.select(*[q(c) for c in dict.fromkeys([*keys, *keep])], *[x.alias(f"_f{i}") for i, x in enumerate(functions)])
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    sums = f.groupBy(*keys).agg(F.array(*[F.sum(F.col(f"_f{i}") * F.col(f"_f{j}")) for i, j in pairs]).alias("_g"))
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in frames:
+            gram = np.zeros((len(t), p, p))
+            for at, (i, j) in enumerate(pairs):
+                gram[:, i, j] = gram[:, j, i] = [g[at] for g in t["_g"]]
+            yield t[keys].assign(_c=list(_orthonormal(gram).reshape(len(t), p * p)))
 
-def trend_basis(signal: DataFrame, covariate: DataFrame, degree: int = 2, by: Sequence[str] = ("unit",)) -> DataFrame:
-    """(unit, part, rank, q0, q1, ..): an orthonormal basis of the covariate's powers over the positions of
-    each unit; directions that the values do not span are 0.  Positions of a unit are bounded (genes)."""
-    places = signal.select(*POSITION).distinct().join(covariate.select("part", "rank", F.col("covariate").cast("double").alias("g"), *(["unit"] if "unit" in covariate.columns else [])), [*(["unit"] if "unit" in covariate.columns else []), "part", "rank"]).where("g IS NOT NULL AND NOT isnan(g)")
-    schema = ", ".join(["unit " + signal.schema["unit"].dataType.simpleString(), "part " + signal.schema["part"].dataType.simpleString(), "rank " + signal.schema["rank"].dataType.simpleString(), *[f"q{k} double" for k in range(degree + 1)]])
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    table, _ = small_enough(written(sums.mapInPandas(run, ", ".join([*[f"`{c}` {kind(c)}" for c in keys], "_c array<double>"])), "basis"))
+    made = [sum((F.col("_c")[k * p + i] * F.col(f"_f{i}") for i in range(1, k + 1)), F.col("_c")[k * p] * F.col("_f0")).alias(f"q{k}") for k in range(p)]
+    return f.join(table, keys).select(*[q(c) for c in keep], *made)
+
+
+def _scaled(rows: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns ``names`` scaled to mean 0 and variance 1 in each ``by``; constant ones become 0."""
+    stats = rows.groupBy(*by).agg(*[x for c in names for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
+    z = {c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.lit(0.0)) for c in names}
+    return rows.join(stats, list(by)).withColumns(z).select(*rows.columns)
 
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        b = polynomial_basis(f["g"].to_numpy(), degree)
-        b = np.column_stack([b, np.zeros((len(f), degree + 1 - b.shape[1]))])
-        return pd.concat([f[POSITION].reset_index(drop=True), pd.DataFrame(b, columns=[f"q{k}" for k in range(degree + 1)])], axis=1)
 
-    return places.groupBy(*by).applyInPandas(run, schema)
+def trend_basis(signal: DataFrame, covariate: DataFrame, degree: int = 2, by: Sequence[str] = ("unit",)) -> DataFrame:
+    """(unit, part, rank, q0, q1, ..): an orthonormal basis of the covariate's powers over the positions of
+    each unit; directions that the values do not span are 0."""
+    on = [*(["unit"] if "unit" in covariate.columns else []), "part", "rank"]
+    known = covariate.select(*on, F.col("covariate").cast("double").alias("g")).where("g IS NOT NULL AND NOT isnan(g)")
+    places = _scaled(signal.select(*POSITION).distinct().join(known, on).select(*POSITION, "g"), by, ["g"])
+    return _basis(places, by, [F.lit(1.0), *[F.pow("g", F.lit(k)) for k in range(1, degree + 1)]], POSITION)
 
 
 def remove_trend(signal: DataFrame, basis: DataFrame, out: str = "value") -> DataFrame:
@@ -58,20 +90,11 @@ def covariate_slopes(signal: DataFrame, covariate: DataFrame) -> DataFrame:
 
 def remove_sample_factors(signal: DataFrame, factors: DataFrame, names: Sequence[str], out: str = "value") -> DataFrame:
     """Every position's least-squares fit on sample factors (and a constant) taken off.  The factors'
-    orthonormal basis is computed per unit over its samples (bounded: one row each)."""
-    samples = signal.select("unit", "sample").distinct().join(factors.select("sample", *names), "sample")
+    orthonormal basis over a unit's samples comes from their summed products."""
+    known = factors.select("sample", *[F.col(c).cast("double").alias(c) for c in names]).dropna()
+    samples = _scaled(signal.select("unit", "sample").distinct().join(known, "sample"), ["unit"], names)
     p = len(names) + 1
-    kind = lambda c: signal.schema[c].dataType.simpleString()
-    schema = f"unit {kind('unit')}, sample {kind('sample')}, " + ", ".join(f"q{k} double" for k in range(p))
-
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        d = np.column_stack([np.ones(len(f)), f[list(names)].to_numpy(float)])
-        u, s, _ = np.linalg.svd(d, full_matrices=False)
-        u = u[:, s > s[0] * 1e-10 * max(d.shape)]
-        u = np.column_stack([u, np.zeros((len(f), p - u.shape[1]))])
-        return pd.concat([f[["unit", "sample"]].reset_index(drop=True), pd.DataFrame(u, columns=[f"q{k}" for k in range(p)])], axis=1)
-
-    basis, _ = small_enough(written(samples.dropna().groupBy("unit").applyInPandas(run, schema), "basis"))
+    basis, _ = small_enough(written(_basis(samples, ["unit"], [F.lit(1.0), *[F.col(c) for c in names]], ["unit", "sample"]), "basis"))
     x = signal.join(basis, ["unit", "sample"])
     coef = x.groupBy(*POSITION).agg(*[F.sum(F.col("value") * F.col(f"q{k}")).alias(f"_q{k}") for k in range(p)])
     fit = sum((F.col(f"_q{k}") * F.col(f"q{k}") for k in range(1, p)), F.col("_q0") * F.col("q0"))

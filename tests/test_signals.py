@@ -371,3 +371,36 @@ def test_pair_correlations_with_holes(spark):
     assert got[0, 1][1] == 19 and got[0, 1][0] == pytest.approx(float((z(x[:, 0])[keep] * z(x[keep, 1])).mean()), abs=1e-9)
     assert got[0, 3][0] == pytest.approx(float((z(x[:, 0]) * z(x[:, 3])).mean()), abs=1e-9)
     assert (2, 9) not in got
+
+
+def test_simulated_layers_have_the_moments_of_the_model(spark):
+    x = simulate.simulate_genome(spark, 2000, 2, 70, 4.0, gc_phi=0.9, gc_bias_sd=0.3, cis_sd=0.6, noise_sd=0.4, seed=12).toPandas()
+    assert len(x) == 2 * 2000 * 70 and x.groupby("sample").gc_slope.nunique().max() == 1
+    rest = x.value - x.landscape - x.gc_slope * x.gc - x.cis
+    assert rest.std() == pytest.approx(0.4, rel=0.02) and abs(rest.mean()) < 0.01
+    assert x.cis.std() == pytest.approx(0.6, rel=0.03)
+    assert x.landscape.mean() == pytest.approx(1.3 * 3, rel=0.1)
+    cis = x.sort_values(["sample", "part", "rank"]).cis.to_numpy().reshape(140, 2000)
+    for k in (1, 4, 9):
+        assert (cis[:, k:] * cis[:, :-k]).mean() / (cis**2).mean() == pytest.approx(math.exp(-k / 4), abs=0.03)
+    track = x[(x["sample"] == "s00000") & (x.part == "1")].sort_values("rank").gc.to_numpy()
+    assert abs(track.mean()) < 1e-9 and track.std() == pytest.approx(1, abs=1e-9)
+    assert (track[1:] * track[:-1]).mean() == pytest.approx(0.9, abs=0.05)
+
+
+def test_a_filter_by_doubling_is_the_recursion():
+    rng = np.random.default_rng(2)
+    start, steps = rng.normal(size=3), rng.normal(size=(3, 36))
+    x = simulate.autoregression(start, steps, 0.8)
+    want = start
+    for i in range(36):
+        want = 0.8 * want + steps[:, i]
+        assert np.allclose(x[:, i + 1], want)
+    assert np.allclose(simulate.autoregression(start, steps, 0.0)[:, 1:], steps)
+
+
+def test_a_mixture_keeps_the_variance_of_its_local_layer(spark):
+    x = simulate.mixture_with_covariate(spark, 0.5, seed=3, n_genes=400, n_chrom=1, n_samples=200, noise_sd=0.0).toPandas()
+    local = x.value - x.landscape
+    assert local.std() == pytest.approx(0.6, rel=0.12)
+    assert np.corrcoef(local, x.cis)[0, 1] == pytest.approx(math.sqrt(0.5), abs=0.06)
