@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.keys import canonical_gene, canonical_key
@@ -59,25 +59,39 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All references at once: every child table is read once and gives a row per reference, all parents make one
+    table, and (kind of parent, key) is the composite key that refers."""
     t = lambda name: table(spark, d, name)
-    signal, contact, beat = t("expr_signal"), t("contact"), t("beataml_mutation")
-    attr, gene, mapping = t("sample_attr"), t("gene"), t("sample_mapping")
-    aml = F.coalesce(F.col("unit") == "beataml_aml", F.lit(False))
-    cols = ["row_id", "loaded_at"]
-    refs = [
-        ("expr_signal", "sample_id", signal.where(~aml), canonical_key, attr, "sample_id", "deleted_at"),
-        ("expr_signal", "sample_id", signal.where(aml), canonical_key, mapping, "dbgap_rnaseq_sample", "removed_at"),
-        ("expr_signal", "gene_id", signal, canonical_gene, gene, "gene_id", "retired_at"),
-        ("contact", "g1", contact, canonical_gene, gene, "gene_id", "retired_at"),
-        ("contact", "g2", contact, canonical_gene, gene, "gene_id", "retired_at"),
-        ("beataml_mutation", "dbgap_sample_id", beat, canonical_key, mapping, "dbgap_dnaseq_sample", "removed_at"),
-    ]
-    found = []
-    for name, field, child, canon, parent, key, end in refs:
-        rows = child.select(*cols, field)
-        lost = orphans.find_orphans(rows, parent, [(canon(F.col(field)), canon(F.col(key)))], at="loaded_at", start="loaded_at", end=end)
-        found.append(lost.select(F.lit(name).alias("child_table"), F.lit(field).alias("child_field"), "row_id", *keep))
-    return reduce(DataFrame.unionByName, found)
+
+    def parents(kind: str, name: str, key: Column, end: str) -> DataFrame:
+        return t(name).select(F.lit(kind).alias("kind"), key.alias("key"), F.col("loaded_at").alias("since"), F.col(end).alias("until"))
+
+    parent = reduce(
+        DataFrame.unionByName,
+        [
+            parents("attr", "sample_attr", canonical_key(F.col("sample_id")), "deleted_at"),
+            parents("rna", "sample_mapping", canonical_key(F.col("dbgap_rnaseq_sample")), "removed_at"),
+            parents("dna", "sample_mapping", canonical_key(F.col("dbgap_dnaseq_sample")), "removed_at"),
+            parents("gene", "gene", canonical_gene(F.col("gene_id")), "retired_at"),
+        ],
+    )
+
+    def children(name: str, *refs: tuple[str, Column, Column]) -> DataFrame:
+        made = F.array(*[F.struct(F.lit(field).alias("child_field"), kind.alias("kind"), key.alias("key")) for field, kind, key in refs])
+        return t(name).select(F.lit(name).alias("child_table"), "row_id", "loaded_at", F.explode(made).alias("r")).select("child_table", "row_id", "loaded_at", "r.*")
+
+    gene = lambda c: (c, F.lit("gene"), canonical_gene(F.col(c)))
+    sample = F.when(F.col("unit") == "beataml_aml", F.lit("rna")).otherwise(F.lit("attr"))
+    child = reduce(
+        DataFrame.unionByName,
+        [
+            children("expr_signal", ("sample_id", sample, canonical_key(F.col("sample_id"))), gene("gene_id")),
+            children("contact", gene("g1"), gene("g2")),
+            children("beataml_mutation", ("dbgap_sample_id", F.lit("dna"), canonical_key(F.col("dbgap_sample_id")))),
+        ],
+    )
+    lost = orphans.find_orphans(child, parent, [(F.col("kind"), F.col("kind")), (F.col("key"), F.col("key"))], at="loaded_at", start="since", end="until")
+    return lost.select("child_table", "child_field", "row_id", *keep)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
