@@ -74,6 +74,23 @@ def number_positions(genes: DataFrame, part: str, start: str, key: str, out: str
     return genes.where(q(part).isNotNull() & q(start).isNotNull()).withColumn(out, F.row_number().over(w) - 1)
 
 
+def moving_average(df: DataFrame, by: Sequence[str], order: str, value: str, width: int, out: str) -> DataFrame:
+    """``df`` with the mean of ``value`` over up to ``width`` (odd) neighbours in the order of its group, fewer at the
+    ends.  A group is a run of positions: bounded."""
+    half = width // 2
+    return df.withColumn(out, F.avg(q(value)).over(Window.partitionBy(*[q(c) for c in by]).orderBy(q(order)).rowsBetween(-half, half)))
+
+
+def covered(df: DataFrame, by: Sequence[str], value: str, share: float = 0.5) -> DataFrame:
+    """(by...) of the groups in which more than ``share`` of the values are known."""
+    return df.groupBy(*[q(c) for c in by]).agg(F.avg(q(value).isNotNull().cast("double")).alias("_c")).where(F.col("_c") > share).drop("_c")
+
+
+def odd_part(part: Column) -> Column:
+    """1 for chromosomes of odd number, 0 for even ones, null for others."""
+    return F.pmod(part.try_cast("int"), F.lit(2))
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the first in ``order``; by an aggregate, so a key of many rows is no burden."""
     rest = [c for c in df.columns if c not in keys]

@@ -7,7 +7,7 @@ reader sees the old or the new table and a failed write leaves the old one.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from lattica.session import q
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the class of paths."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
 def _current(spark: SparkSession, path: str) -> str | None:
-    fs, path_of = _fs(spark, path)
+    fs, path_of = file_system(spark, path)
     pointer = path_of(f"{path}/CURRENT")
     if not fs.exists(pointer):
         return None
@@ -35,9 +36,10 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/{name}") if name else None
 
 
-def _publish(df: DataFrame, path: str) -> DataFrame:
+def publish(df: DataFrame, path: str) -> DataFrame:
+    """Writes a version and makes it the current one."""
     spark = df.sparkSession
-    fs, path_of = _fs(spark, path)
+    fs, path_of = file_system(spark, path)
     old, new = _current(spark, path), f"v-{uuid.uuid4().hex[:12]}"
     df.write.parquet(f"{path}/{new}")
     out = fs.create(path_of(f"{path}/CURRENT.new"), True)
@@ -82,7 +84,7 @@ def upserted(old: DataFrame | None, new: DataFrame, key: Sequence[str]) -> DataF
 def upsert(df: DataFrame, path: str, key: Sequence[str]) -> DataFrame:
     """Writes the upserted table and returns it; duplicate keys in the result raise and change nothing."""
     merged = upserted(read(df.sparkSession, path), df, key)
-    return _publish(require_unique(merged, key), path)
+    return publish(require_unique(merged, key), path)
 
 
 def replaced(old: DataFrame | None, new: DataFrame, by: str, groups: Sequence) -> DataFrame:
@@ -97,7 +99,7 @@ def replace_groups(df: DataFrame, path: str, by: str, groups: Sequence, key: Seq
     if stray:
         raise ValueError(f"rows of groups that are not replaced: {by}")
     merged = replaced(read(df.sparkSession, path), df, by, groups)
-    return _publish(require_unique(merged, key) if key else merged, path)
+    return publish(require_unique(merged, key) if key else merged, path)
 
 
 def pending(units: Sequence, spark: SparkSession, path: str, by: str, resume: bool = True) -> list:
@@ -107,6 +109,12 @@ def pending(units: Sequence, spark: SparkSession, path: str, by: str, resume: bo
     return [u for u in units if u not in have]
 
 
+def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``; only if there is none yet, ``make()`` is written there first."""
+    old = read(spark, path)
+    return publish(make(), path) if old is None else old
+
+
 def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
     """Overwrites a folder of CSV with a header; ``compression='gzip'`` for .csv.gz."""
     df.write.mode("overwrite").option("header", True).option("compression", compression).csv(path)

@@ -539,12 +539,12 @@ def simulate_recover(spark, d):
 
 
 @query(
-    """WITH old AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier), new AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0)
+    """WITH old AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer), new AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier)
   SELECT k, v FROM old WHERE k NOT IN (SELECT k FROM new) UNION ALL SELECT k, v FROM new"""
 )
 def upserted_rows(spark, d):
-    old = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
-    new = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    new = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
     return store.upserted(old, new, ["k"])
 
 

@@ -71,9 +71,15 @@ def written(df: DataFrame, label: str = "t", partition_by: list[str] | None = No
 
 def written_path(df: DataFrame, label: str = "t", partition_by: list[str] | None = None) -> str:
     """The path of ``df`` written as by :func:`written`."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = own_folder(df.sparkSession, label)
     df.write.parquet(path, partitionBy=partition_by)
-    atexit.register(_remove, df.sparkSession, path)
+    return path
+
+
+def own_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the driver's process ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark, path)
     return path
 
 

@@ -1,8 +1,8 @@
 """Readers of the file formats that studies of ordered signals come in.
 
 Each returns a lazy DataFrame, in long form where the file is a matrix.  Headers are read on the driver
-(one line), data only in tasks.  Not offered: remote ``.hic`` matrices, pickles and ``.h5ad`` (convert them
-to Parquet first).
+(one line), data only in tasks.  Not offered: pickles, ``.h5ad`` and binary ``.hic`` matrices (convert them to
+Parquet or text first; :func:`contact_windows` reads text exports of the latter).
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ from pyspark.sql import types as T
 from lattica.session import q
 
 
+#: Cells of an archive's matrix that leave a task at once.
+MOST_CELLS = 200_000
+
+
 def first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
     """The first lines of a (possibly compressed) text file, or of the first of several."""
     return [r[0] for r in spark.read.text(path).limit(n).collect()]
@@ -118,36 +122,56 @@ def zipped_matrix(spark: SparkSession, path: str, member: str, genes: Sequence[s
     sample_id, value)."""
     want_g, want_s = set(genes) if genes is not None else None, set(samples) if samples is not None else None
 
+    def frame(genes: list[str], lines: list[list[str]], cols: list[tuple[int, str]]) -> pd.DataFrame:
+        cells = pd.Series([line[i] if i < len(line) else "" for line in lines for i, _ in cols], dtype=object)
+        return pd.DataFrame({"gene_id": np.repeat(genes, len(cols)), "sample_id": [c for _, c in cols] * len(genes), "value": pd.to_numeric(cells, errors="coerce").astype(float)})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for content in f["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as raw:
-                    text = io.TextIOWrapper(raw, "utf-8")
-                    head = next(text).rstrip("\r\n").split("\t")
-                    cols = [(i, c) for i, c in enumerate(head) if i and (want_s is None or c in want_s)]
-                    for line in text:
-                        cells = line.rstrip("\r\n").split("\t")
-                        gene = cells[0].split(".")[0]
-                        if want_g is None or gene in want_g:
-                            yield pd.DataFrame({"gene_id": gene, "sample_id": [c for _, c in cols], "value": pd.to_numeric(pd.Series([cells[i] for i, _ in cols]), errors="coerce")})
+        for content in (c for f in frames for c in f["content"]):
+            with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as raw:
+                text = io.TextIOWrapper(raw, "utf-8")
+                head = next(text).rstrip("\r\n").split("\t")
+                cols = [(i, c) for i, c in enumerate(head) if i and (want_s is None or c in want_s)]
+                most, held = max(1, MOST_CELLS // max(1, len(cols))), ([], [])
+                for line in text:
+                    cells = line.rstrip("\r\n").split("\t")
+                    gene = cells[0].split(".")[0]
+                    if want_g is None or gene in want_g:
+                        held[0].append(gene)
+                        held[1].append(cells)
+                    if len(held[0]) >= most:
+                        yield frame(*held, cols)
+                        held = ([], [])
+                if held[0] and cols:
+                    yield frame(*held, cols)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "gene_id string, sample_id string, value double")
 
 
 def npz(spark: SparkSession, path: str, matrix: str = "X", rows: str = "genes", columns: str = "samples") -> DataFrame:
-    """A named matrix archive as (row, column, value); object arrays are refused."""
+    """A named matrix archive as (row, column, value), a task per archive; object arrays are refused."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for content in f["content"]:
-                with np.load(io.BytesIO(content), allow_pickle=False) as z:
-                    m, r, c = z[matrix], [str(x) for x in z[rows]], [str(x) for x in z[columns]]
-                for i, name in enumerate(r):
-                    yield pd.DataFrame({"row": name, "column": c, "value": m[i].astype(float)})
+        for content in (c for f in frames for c in f["content"]):
+            with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                m, r, c = np.asarray(z[matrix], float), z[rows].astype(str), z[columns].astype(str)
+            step = max(1, MOST_CELLS // max(1, len(c)))
+            for i in range(0, len(r), step):
+                part = r[i : i + step]
+                yield pd.DataFrame({"row": np.repeat(part, len(c)), "column": np.tile(c, len(part)), "value": m[i : i + step].ravel()})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row string, column string, value double")
 
 
+def contact_windows(spark: SparkSession, path: str, band: int) -> DataFrame:
+    """Contacts exported as text (chr, x, y, value without a header) from windows that overlap along a chromosome:
+    each contact of at most ``band`` between its places once, whatever windows it stands in; null and NaN values go."""
+    df = spark.read.schema("chr string, x bigint, y bigint, value double").option("sep", "\t").csv(path)
+    lo, hi = F.least("x", "y"), F.greatest("x", "y")
+    near = df.where((hi - lo <= band) & F.col("value").isNotNull() & ~F.isnan("value")).select("chr", lo.alias("lo"), hi.alias("hi"), "value")
+    return near.groupBy("chr", "lo", "hi").agg(F.min("value").alias("value"))
+
+
 def loops(spark: SparkSession, path: str) -> DataFrame:
     """A loop list: header names trimmed, loops within one chromosome with a forward and a reverse anchor:
     (chr, start, end)."""
@@ -182,7 +206,14 @@ def series_metadata(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.regexp_extract("value", r"^!([^\t=]+?)\s*(?:=|\t|$)", 1).alias("field"), F.posexplode(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))).alias("position", "raw")).select("field", "position", F.regexp_replace("raw", r'^"|"$', "").alias("value"))
 
 
-def sheets(path: str, sheet: int = 1) -> pd.DataFrame:
+def sheet_table(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """:func:`sheets` of a workbook in any file system."""
+    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    table = sheets(io.BytesIO(bytes(content)), sheet)
+    return spark.createDataFrame(list(table.astype(object).where(table.notna(), None).itertuples(index=False, name=None)), ", ".join(f"`{c}` string" for c in table.columns))
+
+
+def sheets(path: str | io.BytesIO, sheet: int = 1) -> pd.DataFrame:
     """A sheet of an Excel workbook as strings (first row: names), read with the standard library on the
     driver.  For dimension tables; shared and inline strings and plain values."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}

@@ -312,3 +312,28 @@ def test_every_character_of_a_valid_line_comes_out():
     reason, _, fields = lines.parse_batch(feed, pa.array(texts))
     assert reason == [None] * len(texts)
     assert fields == [[f"A{c}B", f"x{c}y"] for c in chars] + [['q\n"z,\x1e', "\x1f"]]
+
+
+def test_stages_run_after_their_needs_and_resume(spark, tmp_path):
+    from lattica.plans import stages
+
+    made = []
+
+    def stage(name, *needs):
+        def make(*tables):
+            made.append(name)
+            return spark.range(1 + sum(t.count() for t in tables))
+
+        return stages.Stage(name, make, needs)
+
+    plan = [stage("c", "a", "b"), stage("b", "a"), stage("a"), stage("d")]
+    assert [s.name for s in stages.in_order(plan, ["c"])] == ["a", "b", "c"]
+    assert {n for n, (_, new) in stages.run(spark, plan, str(tmp_path), ["b"]).items() if new} == {"a", "b"}
+    done = stages.run(spark, plan, str(tmp_path))
+    assert made == ["a", "b", "c", "d"] and done["c"][0].count() == 4
+    stages.run(spark, plan, str(tmp_path), ["a"], resume=False)
+    assert made[4:] == ["a"]
+    with pytest.raises(ValueError, match="need each other"):
+        stages.in_order([stage("x", "y"), stage("y", "x")])
+    with pytest.raises(ValueError, match="no stage"):
+        stages.in_order(plan, ["e"])

@@ -222,7 +222,7 @@ def test_upsert_keeps_other_rows_and_refuses_duplicates(spark, tmp_path):
 def test_replaced_groups_lose_their_old_rows(spark, tmp_path):
     path = str(tmp_path / "t")
     make = lambda rows: spark.createDataFrame(rows, "tissue string, v long")
-    store._publish(make([("a", 1), ("a", 2), ("b", 3), (None, 9)]), path)
+    store.publish(make([("a", 1), ("a", 2), ("b", 3), (None, 9)]), path)
     got = store.replace_groups(make([("a", 7)]), path, "tissue", ["a", "b"], ["tissue", "v"])
     assert sorted((r.tissue or "", r.v) for r in got.collect()) == [("", 9), ("a", 7)]
     with pytest.raises(ValueError):
