@@ -122,6 +122,18 @@ def decay_length(profile: DataFrame, by: Sequence[str], lag: str, value: str, fl
     return kept.groupBy(*by).agg(F.when(F.count("*") >= least, F.try_divide(F.lit(-1.0), slope)).alias("decay_length"), F.count("*").alias("n"))
 
 
+def neighbour_correlations(signal: DataFrame, eps: float = 1e-9) -> DataFrame:
+    """(unit, part, rank1, rank2, r, n_samples): the correlation of every position with the next rank, over the samples
+    that have both; none where no sample has.  Each sample's values meet in the order of its positions, and
+    only products are summed by position."""
+    place = Window.partitionBy(*POSITION)
+    z = F.try_divide(F.col("value") - F.avg("value").over(place), F.stddev_pop("value").over(place) + eps)
+    along = Window.partitionBy("unit", "sample", "part").orderBy("rank")  # the positions of a part
+    met = signal.withColumn("_z", z).withColumns({"_next": F.lead("rank").over(along), "_z2": F.lead("_z").over(along)}).where(F.col("_next") == F.col("rank") + 1)
+    sums = met.groupBy("unit", "part", F.col("rank").alias("rank1")).agg(F.avg(F.col("_z") * F.col("_z2")).alias("r"), F.count("_z2").alias("n_samples"))
+    return sums.select("unit", "part", "rank1", (F.col("rank1") + 1).alias("rank2"), "r", "n_samples").where("n_samples > 0")
+
+
 def pair_correlations(signal: DataFrame, pairs: DataFrame, eps: float = 1e-9) -> DataFrame:
     """``pairs`` (unit, part, rank1, rank2, ...) with ``r``: the correlation of the two positions over the
     samples that have both, and ``n_samples``.  Each position travels as one array over all samples of its

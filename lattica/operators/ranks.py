@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 
 from lattica.functions.bins import pearson
 from lattica.operators.skew import lookup
-from lattica.session import parallelism, q, written
+from lattica.session import colname, parallelism, q, written
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., value, n, before, total): of each distinct value its rows, the rows below it and all rows of
     its group.  Null and NaN values have no rank."""
+    return _ranks(df, value, by)[0]
+
+
+def _ranks(df: DataFrame, value: str, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """:func:`value_ranks`, and the written table behind it, which has as many rows."""
     keys = [q(c) for c in by]
     known = df.where(q(value).isNotNull() & ~F.isnan(q(value).cast("double")))
     counts = known.groupBy(*keys, q(value)).agg(F.count("*").alias("n"))
@@ -30,24 +35,24 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     inside = Window.partitionBy(*keys, "_range").orderBy(q(value)).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     joined = local.join(totals, [*by, "_range"])
-    return joined.select(*keys, q(value), "n", (F.col("_offset") + F.col("_local")).alias("before"), "total")
+    return joined.select(*keys, q(value), "n", (F.col("_offset") + F.col("_local")).alias("before"), "total"), ranged
 
 
-def _attached(df: DataFrame, scores: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+def _attached(df: DataFrame, scores: DataFrame, value: str, by: Sequence[str], counted: DataFrame) -> DataFrame:
     """``df`` with the scores of its values; a value that most rows share is no burden."""
-    return lookup(df, written(scores, "scores"), [*by, value], null_safe=True)
+    return lookup(df, scores, [*by, value], null_safe=True, counted=counted)
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
     """``df`` with ``out``, the rank from 1 with ties averaged; null for null and NaN."""
-    r = value_ranks(df, value, by)
-    return _attached(df, r.select(*[q(c) for c in by], q(value), (F.col("before") + (F.col("n") + 1) / 2).alias(out)), value, by)
+    r, ranged = _ranks(df, value, by)
+    return _attached(df, r.select(*[q(c) for c in by], q(value), (F.col("before") + (F.col("n") + 1) / 2).alias(out)), value, by, ranged)
 
 
 def pct_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "pct") -> DataFrame:
     """Average rank divided by the rows of the group (not ``percent_rank``)."""
-    r = value_ranks(df, value, by)
-    return _attached(df, r.select(*[q(c) for c in by], q(value), ((F.col("before") + (F.col("n") + 1) / 2) / F.col("total")).alias(out)), value, by)
+    r, ranged = _ranks(df, value, by)
+    return _attached(df, r.select(*[q(c) for c in by], q(value), ((F.col("before") + (F.col("n") + 1) / 2) / F.col("total")).alias(out)), value, by, ranged)
 
 
 def pct_bin(pct: Column, bins: int = 5) -> Column:
@@ -56,10 +61,16 @@ def pct_bin(pct: Column, bins: int = 5) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., rho, n): the rank correlation of complete pairs; null for constant input."""
-    both = df.where(q(x).isNotNull() & q(y).isNotNull() & ~F.isnan(q(x).cast("double")) & ~F.isnan(q(y).cast("double"))).select(*[q(c) for c in by], q(x), q(y))
-    ranked = average_rank(average_rank(both, x, by, "_rx"), y, by, "_ry")
-    return ranked.groupBy(*[q(c) for c in by]).agg(pearson(F.col("_rx"), F.col("_ry")).alias("rho"), F.count("*").alias("n"))
+    """(by..., rho, n): the rank correlation of complete pairs; null for constant input.  Both columns are ranked in
+    one pass over their values."""
+    which, keys = colname(list(by), base="_which"), [q(c) for c in by]
+    both = df.where(q(x).isNotNull() & q(y).isNotNull() & ~F.isnan(q(x).cast("double")) & ~F.isnan(q(y).cast("double"))).select(*keys, q(x).cast("double").alias("_x"), q(y).cast("double").alias("_y"))
+    values = both.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias(which), F.col(c).alias("_v")) for c in ("_x", "_y")])).alias("_c")).select(*keys, "_c.*")
+    r, ranged = _ranks(values, "_v", [*by, which])
+    rank = (F.col("before") + (F.col("n") + 1) / 2).alias("_r")
+    for c in ("_x", "_y"):
+        both = _attached(both, r.where(F.col(which) == c).select(*keys, F.col("_v").alias(c), rank.alias(f"_r{c}")), c, by, ranged)
+    return both.groupBy(*keys).agg(pearson(F.col("_r_x"), F.col("_r_y")).alias("rho"), F.count("*").alias("n"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "q") -> DataFrame:
@@ -74,7 +85,7 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), out: str =
     tops = ranged.groupBy(*keys, "_range").agg(F.min("_raw").alias("_least")).withColumn("_above", F.min("_least").over(above)).drop("_least")
     inside = Window.partitionBy(*keys, "_range").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     final = ranged.withColumn("_own", F.min("_raw").over(inside)).join(tops, [*by, "_range"]).select(*keys, q(p), F.least(F.col("_own"), F.col("_above"), F.lit(1.0)).alias(out))
-    return _attached(df, final, p, by)
+    return _attached(df, final, p, by, ranged)
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:

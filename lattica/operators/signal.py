@@ -23,18 +23,24 @@ def eligible_samples(signal: DataFrame, attributes: DataFrame, key: str, require
     return kept.join(units, "unit", "left_semi")
 
 
+def _known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with all ``keys``: others have no place."""
+    return df.dropna(subset=list(keys))
+
+
 def expressed(signal: DataFrame, least: float = 10.0) -> DataFrame:
-    """Rows of positions whose median over samples is at least ``least``."""
-    good = signal.groupBy(*POSITION).agg(F.median("value").alias("_m")).where(F.col("_m") >= least).select(*POSITION)
-    return signal.join(good, POSITION, "left_semi")
+    """Rows of positions whose median over samples is at least ``least``.  A window holds the samples of one
+    position; rows are shuffled once and not joined."""
+    over = F.median("value").over(Window.partitionBy(*POSITION))
+    return _known(signal, POSITION).withColumn("_m", over).where(F.col("_m") >= least).drop("_m")
 
 
 def log2_cpm(signal: DataFrame, out: str = "value") -> DataFrame:
     """``log2(count / library * 1e6 + 1)``, the library being the sample's sum over the rows given; a
-    sample without counts gets null."""
-    library = signal.groupBy("unit", "sample").agg(F.sum("value").alias("_lib"))
+    sample without counts gets null.  A window holds the positions of one sample."""
+    library = F.sum("value").over(Window.partitionBy("unit", "sample"))
     scaled = F.log2(F.try_divide(F.col("value"), F.col("_lib")) * 1e6 + 1)
-    return signal.join(library, ["unit", "sample"]).withColumn(out, scaled).drop("_lib")
+    return _known(signal, ["unit", "sample"]).withColumn("_lib", library).withColumn(out, scaled).drop("_lib")
 
 
 def from_log2(x: Column) -> Column:
@@ -45,10 +51,8 @@ def from_log2(x: Column) -> Column:
 def two_way_center(signal: DataFrame) -> DataFrame:
     """``centered`` (the sample's mean removed), ``mean`` (of the position, over samples, after that) and
     ``dev`` (what is left)."""
-    rows = signal.groupBy("unit", "sample").agg(F.avg("value").alias("_s"))
-    c = signal.join(rows, ["unit", "sample"]).withColumn("centered", F.col("value") - F.col("_s")).drop("_s")
-    cols = c.groupBy(*POSITION).agg(F.avg("centered").alias("mean"))
-    return c.join(cols, POSITION).withColumn("dev", F.col("centered") - F.col("mean"))
+    c = _known(signal, ["sample", *POSITION]).withColumn("centered", F.col("value") - F.avg("value").over(Window.partitionBy("unit", "sample")))
+    return c.withColumn("mean", F.avg("centered").over(Window.partitionBy(*POSITION))).withColumn("dev", F.col("centered") - F.col("mean"))
 
 
 def zscore(df: DataFrame, value: str, by: Sequence[str], out: str = "z", ddof: int = 0, eps: float = 1e-9) -> DataFrame:

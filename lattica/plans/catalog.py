@@ -298,9 +298,14 @@ def lag_excess_shuffled(spark, d):
   GROUP BY 1, 2, 3, 4"""
 )
 def neighbour_correlations(spark, d):
+    return lag.neighbour_correlations(_norm(spark, d)).select("unit", "part", "rank1", "rank2", *r6("r"), F.col("n_samples").cast("bigint").alias("n_samples"))
+
+
+@query(SQL["neighbour_correlations"].replace("b.rank = a.rank + 1", "b.rank = a.rank + 2"))
+def pair_correlations(spark, d):
+    """Positions two ranks apart, as given pairs."""
     n = _norm(spark, d)
-    places = n.select(*sig.POSITION).distinct()
-    pairs = places.select("unit", "part", F.col("rank").alias("rank1"), (F.col("rank") + 1).alias("rank2"))
+    pairs = n.select(*sig.POSITION).distinct().select("unit", "part", F.col("rank").alias("rank1"), (F.col("rank") + 2).alias("rank2"))
     return lag.pair_correlations(n, pairs).where("n_samples > 0").select("unit", "part", "rank1", "rank2", *r6("r"), F.col("n_samples").cast("bigint").alias("n_samples"))
 
 

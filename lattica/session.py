@@ -101,11 +101,11 @@ def row_bytes(df: DataFrame) -> int:
     return 16 + sum(fixed.get(kind, 64) + 8 for _, kind in df.dtypes)
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES, counted: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """``(df, True)`` with a broadcast hint if its counted rows fit ``limit``; else ``(df, False)``.
-    ``df`` should be cheap to count (written, or a footer count)."""
+    ``df`` should be cheap to count (written, or a footer count), or ``counted`` be so and have as many rows."""
     most = limit // row_bytes(df)
-    if df.limit(most + 1).count() <= most:
+    if (df if counted is None else counted).limit(most + 1).count() <= most:
         return F.broadcast(df), True
     return df, False
 
