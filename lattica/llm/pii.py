@@ -1,13 +1,16 @@
 """Personal information inside free text (problem 9).
 
-Information-theoretic sanitisation.  What identifies by its form (addresses of mail, telephone and
-identity numbers, street addresses) is found by form.  Names have no form; they are found by how much a
-term tells about protected entities.  Over the whole corpus each term is counted in documents, and in
-documents where it stands together with an entity that contains it: a mail address whose local part is
-made of it, or a naming slot (after a title or initials, before a bracketed address, in "Family, Given").
-The normalised pointwise mutual information of term and entity is its *disclosure*; terms beyond the
-threshold, or those that often stand in naming slots, are removed wherever they
-occur in the corpus, by themselves or joined to a full name, and replaced by a placeholder.
+Information-theoretic sanitisation.  What a term tells about protected entities is estimated from where both
+stand together in the whole corpus; terms beyond a threshold of this *disclosure* are removed wherever they
+occur and generalised to a placeholder of their type.  Disclosure is pointwise mutual information, normalised
+so that 1 means never one without the other.
+
+The entities to begin with are mail addresses, which tell themselves by their form.  *Names* have no form: a term
+is one if it stands in documents together with addresses whose local part is made of it, or in naming slots
+(after a title or initials), in enough of its occurrences.  *Numbers* and *street addresses* are candidates by
+national forms; each candidate belongs to a term, its shape (digits as 9, or the street word), and a shape is
+personal if names or mail addresses stand near it much more often than near any place of the corpus.  Shapes that are hardly
+ever seen count as personal.
 """
 
 from __future__ import annotations
@@ -21,12 +24,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.session import written
+from lattica.session import small_enough, written
 
 #: A term is removed from this disclosure on (normalised mutual information), or from this share of
 #: its occurrences in naming slots on, given so many of those.  Common words stand in such slots (at the
 #: end of a sentence in initials) for well under a twentieth of theirs.
 DISCLOSURE, SLOT_SHARE, LEAST = 0.5, 0.12, 2
+#: Characters around a number or street address in which a name or mail address stands near it, and the disclosure
+#: below which a shape is harmless: halfway between no information and that of the loosest personal shapes.
+NEAR, SHAPE_DISCLOSURE = 150, 0.3
 #: A lexicon of more terms goes to the texts by a join instead of a broadcast.
 MOST_TERMS = 200_000
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -45,11 +51,10 @@ PHONE = re.compile(
     )(?![\w/]|[.,-]\d)""",
     re.X,
 )
-# fixed values: forms of personal, identity card and passport numbers; BA and digits with D or R at the
-# end is a sample of this project
+# fixed values: forms of personal, identity card and passport numbers
 ID_NUMBER = re.compile(
     r"""(?<![\w.+:/-])(?:
-      (?!BA\d+[DR]\b)[A-Za-z]{2}([ -]?)\d{2}\1\d{2}\1\d{2}\1[A-Da-d] | [A-Za-z]{2}\d{7}
+      [A-Za-z]{2}([ -]?)\d{2}\1\d{2}\1\d{2}\1[A-Da-d] | [A-Za-z]{2}\d{7}
     | [12]([ ]?)\d{2}\2\d{2}\2\d{2}\2\d{3}\2\d{3}\2\d{2} | \d{3}([ -])\d{2}\3\d{4} | \d{9}
     )(?![\w/-]|[.,]\d)""",
     re.X,
@@ -294,28 +299,91 @@ def _lexicon_of(batch: pa.RecordBatch, terms: dict[str, bool] | None) -> dict[st
     return {t["term"]: t["given"] for own in batch.column(2).to_pylist() for t in own or ()}
 
 
-def find_pii(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, pii_kind, pii_text), once per document, kind and text as it stands.  Null and empty texts
-    tell nothing; copies are reported each."""
+_STREET = re.compile(rf"{_EN}|{_FR}|{_ES}|{_DE}", re.I)
+
+
+def shape_of(kind: str, text: str) -> str | None:
+    """The term whose disclosure decides on a candidate: for numbers their form with digits as 9 and letters as they
+    stand, for street addresses the street word; None for kinds that are decided otherwise."""
+    if kind in ("phone", "id_number"):
+        return f"{kind} " + re.sub(r"\d", "9", text)
+    if kind == "address":
+        words = [m.group().lower().rstrip(".") for m in _STREET.finditer(text)]
+        return f"{kind} " + (words[-1] if words else "")
+    return None
+
+
+def _near(spans: list[tuple[int, int, str]], length: int) -> list[tuple[int, int]]:
+    """The parts of a text, without overlaps, that lie near its names and mail addresses."""
+    parts: list[tuple[int, int]] = []
+    for a, z, kind in spans:
+        if kind in ("name", "email"):
+            a, z = max(0, a - NEAR), min(length, z + NEAR)
+            if parts and a <= parts[-1][1]:
+                parts[-1] = parts[-1][0], max(z, parts[-1][1])
+            else:
+                parts.append((a, z))
+    return parts
+
+
+def candidates(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, pii_kind, pii_text, shape, n, near, chars, covered): each candidate of a document once, with how often
+    it occurs there and how often near a name or mail address; and rows without a document with the characters of texts and
+    those near such."""
     rows, terms = _with_terms(docs, doc_id, text, lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, kinds, texts = [], [], []
-            for i, spans in spans_of(b.column(1), _lexicon_of(b, terms)).items():
-                doc, t = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                for kind, s in sorted({(kind, t[a:z]) for a, z, kind in spans}):
-                    ids.append(doc)
-                    kinds.append(kind)
-                    texts.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "pii_kind", "pii_text"])
+            texts, covered = b.column(1), 0
+            found: dict[tuple[int, str, str], list[int]] = {}
+            for i, spans in spans_of(texts, _lexicon_of(b, terms)).items():
+                doc, t = b.column(0)[i].as_py(), texts[i].as_py()
+                parts = _near(spans, len(t))
+                covered += sum(z - a for a, z in parts)
+                for a, z, kind in spans:
+                    got = found.setdefault((doc, kind, t[a:z]), [0, 0])
+                    got[0] += 1
+                    got[1] += any(x < z and a < y for x, y in parts)
+            out = [(*key, shape_of(key[1], key[2]), n, near, None, None) for key, (n, near) in sorted(found.items(), key=lambda kv: str(kv[0]))]
+            out.append((None, None, None, None, None, None, pc.sum(pc.utf8_length(texts)).as_py() or 0, covered))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["doc_id", "pii_kind", "pii_text", "shape", "n", "near", "chars", "covered"])
 
-    return rows.mapInArrow(run, "doc_id bigint, pii_kind string, pii_text string")
+    return rows.mapInArrow(run, "doc_id bigint, pii_kind string, pii_text string, shape string, n bigint, near bigint, chars bigint, covered bigint")
+
+
+def shapes(found: DataFrame) -> DataFrame:
+    """(shape, n, near, npmi) of the shapes among written :func:`candidates`.  Two occurrences near names are added to
+    each, so that rare shapes count as personal."""
+    base = found.agg((F.coalesce(F.sum("covered"), F.lit(0)) / F.greatest(F.sum("chars"), F.lit(1))).alias("base"))
+    sums = found.where("shape IS NOT NULL").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
+    p0 = F.least(F.greatest(F.coalesce("base", F.lit(0.0)), F.lit(1e-9)), F.lit(0.999))
+    share = (F.col("near") + 2) / (F.col("n") + 2)
+    return sums.crossJoin(F.broadcast(base)).select("shape", "n", "near", (F.log(share / p0) / -F.log(p0)).alias("npmi"))  # one row
+
+
+def harmless(found: DataFrame) -> DataFrame:
+    """(shape) of the shapes that tell no person: below the disclosure threshold."""
+    return shapes(found).where(F.col("npmi") < SHAPE_DISCLOSURE).select("shape")
+
+
+def find_pii(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, pii_kind, pii_text), once per document, kind and text as it stands.  Null and empty texts
+    tell nothing; copies are reported each."""
+    found = written(candidates(docs, lexicon, doc_id, text), "candidates")
+    rest, _ = small_enough(written(harmless(found), "harmless"))
+    return found.where("doc_id IS NOT NULL").join(rest, "shape", "left_anti").select("doc_id", "pii_kind", "pii_text")
 
 
 def sanitise(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, removed): the texts with every finding replaced by its typed placeholder, such as
-    ``[EMAIL]``, and their number.  The rest of the text stays; null stays null."""
+    ``[EMAIL]``, and their number.  The rest of the text stays; null stays null.  At most MOST_TERMS harmless
+    shapes are kept in memory; beyond that ValueError."""
+    lexicon = written(lexicon, "lexicon")
+    shapes_left = harmless(written(candidates(docs, lexicon, doc_id, text), "candidates")).limit(MOST_TERMS + 1).collect()
+    if len(shapes_left) > MOST_TERMS:
+        raise ValueError("too many shapes of numbers to keep in memory")
+    rest = {r[0] for r in shapes_left}
     rows, terms = _with_terms(docs, doc_id, text, lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,9 +392,10 @@ def sanitise(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text:
             for i, spans in spans_of(b.column(1), _lexicon_of(b, terms)).items():
                 t, parts, at = out[i], [], 0
                 for a, z, kind in spans:
-                    parts += [t[at:a], f"[{kind.upper()}]"]
-                    at = z
-                out[i], n[i] = "".join([*parts, t[at:]]), len(spans)
+                    if shape_of(kind, t[a:z]) not in rest:
+                        parts += [t[at:a], f"[{kind.upper()}]"]
+                        at, n[i] = z, n[i] + 1
+                out[i] = "".join([*parts, t[at:]])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(n, pa.int32())], names=["doc_id", "text", "removed"])
 
     return rows.mapInArrow(run, "doc_id bigint, text string, removed int")
@@ -336,4 +405,4 @@ def corpus_lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
     return names_lexicon(disclosure(docs, text))
 
 
-__all__ = ["corpus_lexicon", "disclosure", "find_pii", "find_spans", "names_lexicon", "sanitise"]
+__all__ = ["candidates", "corpus_lexicon", "disclosure", "find_pii", "find_spans", "names_lexicon", "sanitise", "shapes"]

@@ -130,7 +130,13 @@ def p9_disclosure(spark: SparkSession, d: str) -> DataFrame:
     return pii.disclosure(table(spark, d, "documents").select("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_group_splits, p1_record_splits, p1_split_totals, p2_percentiles, p2_whole_from_days, p2_whole_within_bound, p7_containers, p7_fill, p7_rules, p8_found, p8_leaks, p9_found, p9_sanitised, p9_disclosure)}
+def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """The shapes of numbers and the street words, with how often names stand near them, and their disclosure."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pii.shapes(written(pii.candidates(docs, pii.corpus_lexicon(docs)), "candidates"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_group_splits, p1_record_splits, p1_split_totals, p2_percentiles, p2_whole_from_days, p2_whole_within_bound, p7_containers, p7_fill, p7_rules, p8_found, p8_leaks, p9_found, p9_sanitised, p9_disclosure, p9_shapes)}
 
 _DONOR = "array_to_string((string_split(trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-'), '-'))[1:2], '-')"
 
