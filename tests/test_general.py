@@ -151,7 +151,7 @@ def test_profile_matches_brute_force(spark):
         g = got[load, "c"]
         assert g.n_valid == sum(good.values()) and g.top_n == max(good.values())
         assert g.top_value == min(v for v, n in good.items() if n == g.top_n)
-    bad = {(r.key_id, r.field_name) for r in quality.invalid_rows(df, RULES, "id").collect()}
+    bad = {(r.key_id, r.field_name) for r in quality.invalid_rows(df, counts, RULES, "id").collect()}
     assert bad == {(i, "x") for i, _, x, _ in rows if x is not None and not 0 <= x <= 10} | {(i, "c") for i, *_, c in rows if c is not None and not re.fullmatch(r"A-\d", c)}
 
 
