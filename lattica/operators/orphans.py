@@ -35,12 +35,19 @@ def disjoint_periods(parent: DataFrame, keys: Sequence[str], start: str, end: st
     known = parent.where(F.col(start).isNotNull() & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
     opened = known.where(F.col(end).isNull()).groupBy(*keys).agg(F.min(start).alias(start))
     opened = opened.withColumn(end, F.lit(None).cast(parent.schema[end].dataType))
-    closed = known.where(F.col(end) > F.col(start)).select(*keys, start, end).distinct()
+    # of equal starts the latest end holds all; what begins on one day is joined first, so that the last step sees a
+    # row per key and day unless its periods are apart within days
+    closed = known.where(F.col(end) > F.col(start)).groupBy(*keys, start).agg(F.max(end).alias(end))
+    daily = _islands(closed.withColumn("_day", F.to_date(start)), [*keys, "_day"], start, end).drop("_day")
+    return _islands(opened.unionByName(daily), keys, start, end)
+
+
+def _islands(periods: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """Periods that overlap or meet joined into one, per key."""
     by = Window.partitionBy(*keys).orderBy(F.col(start), F.col(end).desc_nulls_first())
     so_far = F.max(F.coalesce(F.col(end).cast("timestamp"), F.lit("9999-12-31 00:00:00").cast("timestamp"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        opened.unionByName(closed)
-        .withColumn("_new", (so_far.isNull() | (F.col(start).cast("timestamp") > so_far)).cast("int"))
+        periods.withColumn("_new", (so_far.isNull() | (F.col(start).cast("timestamp") > so_far)).cast("int"))
         .withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*keys, "_island")
         .agg(F.min(start).alias(start), F.max(F.col(end).isNull()).alias("_open"), F.max(end).alias(end))

@@ -6,17 +6,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica import demo
 from lattica.functions import bins
 from lattica.functions.tails import normal_p
-from lattica.operators import interval, lag, pairs, regress, resample, resid, simulate, spectral
+from lattica.operators import fit, interval, lag, pairs, regress, resample, resid, simulate, store
 from lattica.operators import signal as sig
 from lattica.plans import catalog, catalog_joins
 from lattica.plans import views as V
 from lattica.plans.catalog import NORM, _ADJ, _adjacent, _norm, query, r6
-from lattica.session import table
+from lattica.session import own_folder, table
 
 # Simpson's rule over the standard normal density from 0 to {z} (at most 9): the two-sided tail
 _TAIL = """greatest(0, 1 - 2 * list_sum(list_transform(range(0, 801), lambda i: (CASE WHEN i IN (0, 800) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
@@ -389,3 +391,97 @@ def mixture_survival(spark, d):
         out.append((share, one(lag.lag_profile(resid.remove_trend(s, resid.trend_basis(s, track, 2)), 3)) / one(lag.lag_profile(s, 3))))
     kept = dict(out)
     return spark.createDataFrame([(s, k <= kept[0.0] + 1e-9) for s, k in out], "share double, less boolean")
+
+
+@query("SELECT * FROM (VALUES ('identity', true), ('share', true), ('corrected is closer', true)) v(quantity, holds)")
+def demo_summary(spark, d):
+    got = {r["quantity"]: r["value"] for r in demo.summary(spark).collect()}
+    true = got["true decay length"]
+    holds = {
+        "identity": got["identity error"] < 1e-8,
+        "share": 0 < got["landscape share"] < 1,
+        "corrected is closer": abs(got["corrected decay length"] - true) < abs(got["naive decay length"] - true),
+    }
+    return spark.createDataFrame(list(holds.items()), "quantity string, holds boolean")
+
+
+@query(catalog.SQL["lag_profile"])
+def lag_profile_export(spark, d):
+    """The lag profiles as a file of text, read again."""
+    profile = catalog.lag_profile(spark, d)
+    path = own_folder(spark, "export")
+    store.write_csv(profile, path)
+    return spark.read.schema(profile.schema).option("header", True).csv(path)
+
+
+@query(
+    """WITH e AS (SELECT label, cast(unnest(range(0, 64)) AS int) AS j, cast(unnest(embedding) AS double) AS x FROM embeddings), m AS (SELECT label, j, avg(x) AS v FROM e GROUP BY 1, 2),
+  c AS (SELECT a.j, corr(a.v, b.v) AS r FROM m a JOIN m b ON b.label = a.label AND b.j = a.j + 1 GROUP BY 1)
+  SELECT round(avg(r), 6) AS mean_r, cast(40 AS bigint) AS replicates, true AS inside FROM c"""
+)
+def double_bootstrap_point(spark, d):
+    """Labels stand for samples, two to a donor; neighbours of the mean vectors are the pairs, in blocks of eight."""
+    v = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("j", "x")).groupBy("label", "j").agg(F.avg(F.col("x").cast("double")).alias("v"))
+    wide = v.toPandas().pivot(index="j", columns="label", values="v").sort_index()  # 64 places by ten labels
+    i = np.arange(len(wide) - 1)
+    rows = pd.DataFrame({"i": i, "j": i + 1, "block": i // 8})
+    log = resample.double_bootstrap(rows, wide.to_numpy(), np.arange(wide.shape[1]) // 2, lambda p, r, w: {"mean_r": float((r * w).sum() / max(w.sum(), 1e-12))}, 40, 5, spark)
+    point, draws = log[log["rep"] == -1]["mean_r"].iloc[0], log[log["rep"] >= 0]["mean_r"]
+    return spark.createDataFrame([(round(float(point), 6), len(draws), bool((draws.abs() <= 1 + 1e-9).all()))], "mean_r double, replicates long, inside boolean")
+
+
+@query("SELECT count(*) AS n, true AS nonnegative, true AS at_most_one, true AS fits FROM (SELECT DISTINCT p_retailprice FROM part) p")
+def spline_rules(spark, d):
+    """A cubic basis of five functions: not negative, at most 1 together, and able to fit any cubic exactly."""
+    x = np.sort(np.array([r[0] for r in table(spark, d, "part").select("p_retailprice").distinct().collect()], float))  # prices of one table
+    z = (x - x.mean()) / x.std()
+    b = regress.spline_basis(z, 5)
+    design = np.column_stack([np.ones(len(z)), b])
+    y = 1 + z - 2 * z**2 + 0.5 * z**3
+    left = y - design @ np.linalg.lstsq(design, y, rcond=None)[0]
+    return spark.createDataFrame([(len(x), bool((b >= -1e-12).all()), bool((b.sum(axis=1) <= 1 + 1e-9).all()), bool(np.abs(left).max() < 1e-8 * np.abs(y).max()))], "n long, nonnegative boolean, at_most_one boolean, fits boolean")
+
+
+@query(
+    f"""WITH {V.MATRIX}, x AS (SELECT a.unit, a.part, a.rank, a.value, b.value AS dose FROM matrix a JOIN matrix b ON b.unit = a.unit AND b.sample = a.sample AND b.part = a.part AND b.rank = (a.rank + 8) % 16)
+  SELECT unit, part, rank, CASE WHEN stddev_pop(dose) >= 1e-6 THEN round(regr_intercept(value, dose), 6) ELSE 0 END AS b0, CASE WHEN stddev_pop(dose) >= 1e-6 THEN round(regr_slope(value, dose), 6) ELSE 0 END AS b1 FROM x GROUP BY 1, 2, 3"""
+)
+def dosage_shifted_control(spark, d):
+    """The dosage of half a part away, in a circle, as a control without an effect of its own."""
+    x = V.matrix(spark, d)
+    dose = x.select("unit", "sample", "part", ((F.col("rank") + 8) % 16).cast("int").alias("rank"), F.col("value").alias("dose"))
+    return resid.own_dosage(x, dose, 1).select("unit", "part", "rank", *r6("b0", "b1"))
+
+
+@query("SELECT * FROM (VALUES ('exponential', true), ('two exponentials', true), ('lorentzian', true), ('whittle', true), ('power law', true), ('hub', true)) v(law, recovered)")
+def fit_recovery(spark, d):
+    """Whether each law's parameters come out of its own curve."""
+    t, f = np.arange(1.0, 61), np.arange(1, 400) / 800
+    near = lambda a, b: bool(abs(a / b - 1) < 0.05)
+    lorentz = lambda length: 4 / (1 + (2 * np.pi * f * length) ** 2) + 0.01
+    c = np.logspace(0, 3, 20)
+    one = fit.exponential_fits(t, 0.4 * np.exp(-t / 6))
+    two = fit.exponential_fits(t, 0.5 * np.exp(-t / 2) + 0.2 * np.exp(-t / 25))
+    law = fit.fit_contact_law(c, 0.002 + 0.02 * c**0.5, np.full(20, 0.003))
+    hub = fit.fit_contact_law(c, 0.005 + 0.2 * (1 + (40 / c) ** (2 / 3)) ** -1.5, np.full(20, 0.003))
+    rows = {
+        "exponential": near(one["length_one"], 6),
+        "two exponentials": near(two["length_short"], 2) and near(two["length_long"], 25),
+        "lorentzian": near(fit.lorentzian_fits(f, lorentz(4.0), np.ones(len(f)))["length_one"], 4),
+        "whittle": near(fit.whittle(f, lorentz(4.0))["length_one"], 4),
+        "power law": near(law["power_law"]["k"], 0.5) and law["power_law"]["chi2"] < law["hub"]["chi2"],
+        "hub": hub["hub"]["chi2"] < hub["power_law"]["chi2"],
+    }
+    return spark.createDataFrame(list(rows.items()), "law string, recovered boolean")
+
+
+@query(f"WITH {V.PAIRS} SELECT unit, part, true AS balanced FROM pairs WHERE contact_kr > 0 AND g1 IS NOT NULL AND g2 IS NOT NULL AND part IS NOT NULL GROUP BY 1, 2")
+def balanced_ring(spark, d):
+    """Members joined in a ring by their contacts' ranks balance to equal sums, whatever the contacts were."""
+    p = V.pairs(spark, d).where("contact_kr > 0 AND g1 IS NOT NULL AND g2 IS NOT NULL AND part IS NOT NULL")
+    ring = p.groupBy("unit", "part").agg(F.avg("contact_kr").alias("c")).withColumn("part", F.concat_ws("|", "unit", "part"))
+    cells = ring.select("part", "c", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("i")).select("part", "i", ((F.col("i") + 1) % 11).alias("j"), (F.col("c") * (1 + F.col("i") % 3)).alias("v"))
+    b = resid.balance(cells.select("part", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "v"))
+    sums = b.select("part", F.col("i").alias("n"), "v").unionByName(b.select("part", F.col("j").alias("n"), "v")).groupBy("part", "n").agg(F.sum("v").alias("s"))
+    even = sums.groupBy("part").agg((F.max("s") / F.min("s") < 1.05).alias("balanced"))
+    return even.select(F.split("part", r"\|")[0].alias("unit"), F.split("part", r"\|")[1].alias("part"), "balanced")
