@@ -123,20 +123,27 @@ def block_means(df: DataFrame, value: str, level: str, block: str, replicates: i
     return spark.createDataFrame([(lv, float(point[i]), *ends(draws[:, i]), float(rp[i]), *ends(rd[:, i])) for i, lv in enumerate(s.columns)], schema)
 
 
-def median_contrast(df: DataFrame, value: str, group: str, key: str, replicates: int = 5000, seed: int = 4) -> dict[str, float]:
-    """The difference of the medians of two groups (true minus false) of a table of results, its percentile
-    interval over resamples within groups and the two-sided bootstrap p, at least one over the
-    replicates.  For one row per sample; the values are brought to the driver, up to MOST_BLOCKS."""
-    rows = df.where(q(value).isNotNull()).select(q(value).cast("double").alias("v"), q(group).alias("g"), q(key).cast("string").alias("k")).limit(MOST_BLOCKS + 1).toPandas().sort_values("k")
-    if len(rows) > MOST_BLOCKS:
-        raise ValueError("too many rows for a table of results")
-    a, b = rows.v[rows.g.astype(bool)].to_numpy(), rows.v[~rows.g.astype(bool)].to_numpy()
-    if not len(a) or not len(b):
+def median_contrast(df: DataFrame, value: str, group: str, key: str | None = None, replicates: int = 5000, seed: int = 4) -> dict[str, float]:
+    """The difference of the medians of two groups (true minus false), its percentile interval over resamples within
+    groups and the two-sided bootstrap p, at least one over the replicates.  The distinct values come to the driver
+    with their counts, up to MOST_BLOCKS; a resample draws how often each value comes.  ``key`` is not needed."""
+    x = q(value).cast("double")
+    counts = df.where(x.isNotNull() & ~F.isnan(x) & q(group).isNotNull()).groupBy(x.alias("v"), q(group).cast("boolean").alias("g")).agg(F.count("*").alias("n")).limit(MOST_BLOCKS + 1).toPandas().sort_values("v")
+    if len(counts) > MOST_BLOCKS:
+        raise ValueError("too many distinct values to resample")
+    sides = [(c["v"].to_numpy(float), c["n"].to_numpy()) for c in (counts[counts["g"]], counts[~counts["g"]])]
+    if not all(len(v) for v, _ in sides):
         return {"difference": float("nan"), "ci_low": float("nan"), "ci_high": float("nan"), "p": float("nan")}
+
+    def median(v: np.ndarray, n: np.ndarray) -> float:
+        upto = np.cumsum(n)
+        return float(v[np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], "right")].mean())
+
     rng = np.random.default_rng(seed)
-    d = np.array([np.median(a[rng.integers(0, len(a), len(a))]) - np.median(b[rng.integers(0, len(b), len(b))]) for _ in range(replicates)])
+    a, b = (np.array([median(v, rng.multinomial(n.sum(), n / n.sum())) for _ in range(replicates)]) for v, n in sides)
+    d, difference = a - b, median(*sides[0]) - median(*sides[1])
     p = max(2 * min((d <= 0).mean(), (d >= 0).mean()), 1 / replicates)
-    return {"difference": float(np.median(a) - np.median(b)), "ci_low": float(np.percentile(d, 2.5)), "ci_high": float(np.percentile(d, 97.5)), "p": float(min(p, 1.0))}
+    return {"difference": float(difference), "ci_low": float(np.percentile(d, 2.5)), "ci_high": float(np.percentile(d, 97.5)), "p": float(min(p, 1.0))}
 
 
 def _hc3_t(design: np.ndarray, y: np.ndarray, col: int) -> np.ndarray:

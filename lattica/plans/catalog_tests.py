@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lattica import demo
 from lattica.functions import bins
 from lattica.functions.tails import normal_p
-from lattica.operators import fit, interval, lag, pairs, regress, resample, resid, simulate, store
+from lattica.operators import fit, interval, lag, pairs, regress, resample, resid, simulate, spectral, store
 from lattica.operators import signal as sig
 from lattica.plans import catalog, catalog_joins
 from lattica.plans import views as V
@@ -485,3 +485,65 @@ def balanced_ring(spark, d):
     sums = b.select("part", F.col("i").alias("n"), "v").unionByName(b.select("part", F.col("j").alias("n"), "v")).groupBy("part", "n").agg(F.sum("v").alias("s"))
     even = sums.groupBy("part").agg((F.max("s") / F.min("s") < 1.05).alias("balanced"))
     return even.select(F.split("part", r"\|")[0].alias("unit"), F.split("part", r"\|")[1].alias("part"), "balanced")
+
+
+_PLACED = (
+    NORM
+    + """, s AS (SELECT unit, part, rank, avg(value) AS m, stddev_pop(value) AS sd FROM norm GROUP BY 1, 2, 3),
+  o AS (SELECT *, row_number() OVER (PARTITION BY unit, part ORDER BY rank) - 1 AS i, count(*) OVER (PARTITION BY unit, part) AS n FROM s),
+  z AS (SELECT x.unit, x.sample, x.part, o.i, o.n, (x.value - o.m) / (o.sd + 1e-9) AS z FROM norm x JOIN o USING (unit, part, rank))"""
+)
+
+
+@query(
+    _PLACED
+    + """ SELECT a.unit, l.lag, round(avg(a.z * b.z), 6) AS correlation, count(*) AS pairs FROM z a JOIN (SELECT cast(unnest(range(1, 13)) AS int) AS lag) l ON true
+  JOIN z b ON b.unit = a.unit AND b.sample = a.sample AND b.part = a.part AND b.i = a.i + l.lag GROUP BY 1, 2"""
+)
+def expression_lag_profile(spark, d):
+    """Lag profiles of normalised expression along chromosomes; values that a sample lacks keep their place."""
+    z = sig.zscore(_norm(spark, d).where("value IS NOT NULL"), "value", sig.POSITION)
+    got = lag.gapped_profile(lag.gapped_arrays(z), range(1, 13))
+    return got.select("unit", "lag", *r6("correlation"), "pairs")
+
+
+@query(
+    _PLACED
+    + """ SELECT unit, part, k, round(avg(power), 5) AS power, count(*) AS samples FROM (SELECT unit, sample, part, k, pow(sum(z * cos(2 * pi() * k * i / n)), 2) + pow(sum(z * sin(2 * pi() * k * i / n)), 2) AS power
+  FROM z JOIN (SELECT cast(unnest(range(0, 200)) AS int) AS k) r ON 2 * k <= n GROUP BY 1, 2, 3, 4) f GROUP BY 1, 2, 3"""
+)
+def expression_spectrum(spark, d):
+    """Mean spectra of normalised expression along chromosomes, over the samples measured there."""
+    z = sig.zscore(_norm(spark, d).where("value IS NOT NULL"), "value", sig.POSITION)
+    arrays = lag.gapped_arrays(z).where("present > 0").select("unit", "sample", "part", "x")
+    return spectral.periodogram(arrays).where("k < 200").groupBy("unit", "part", F.col("k").cast("int").alias("k")).agg(F.round(F.avg("power"), 5).alias("power"), F.count("*").alias("samples"))
+
+
+@query("WITH p AS (" + catalog.SQL["lag_profile"] + ") SELECT unit, lag, correlation AS observed, true AS adds_up FROM p WHERE lag IN (1, 2, 3, 5, 7)")
+def lag_excess_observed(spark, d):
+    """The observed part of the excess over a shuffled order, and that the excess is their difference."""
+    got = lag.lag_excess(V.matrix(spark, d), [1, 2, 3, 5, 7], 3, 1e-12)
+    return got.select("unit", "lag", F.round("observed", 6).alias("observed"), (F.abs(F.col("excess") - F.col("observed") + F.col("shuffled")) < 1e-12).alias("adds_up"))
+
+
+@query(
+    f"""WITH {V.MATRIX}, x AS (SELECT *, lead(value, 1, 0) OVER (PARTITION BY unit, sample, part ORDER BY rank) AS dose FROM matrix)
+  SELECT unit, part, rank, 0.0::double AS mean, round(CASE WHEN stddev_pop(dose) >= 1e-6 THEN var_pop(value) * (1 - corr(value, dose) ** 2) ELSE avg(value * value) END, 6) AS variance FROM x GROUP BY 1, 2, 3"""
+)
+def dosage_residuals(spark, d):
+    """What own dosage leaves of each position: nothing on average, and the variance that it does not explain."""
+    x = V.matrix(spark, d)
+    dose = x.select("unit", "sample", "part", (F.col("rank") - 1).alias("rank"), F.col("value").alias("dose")).where("rank >= 0")
+    left = resid.apply_dosage(x, dose, resid.own_dosage(x, dose, 1))
+    flat = F.col("rank") == 15  # no dosage there: all of the value is left
+    mean = F.when(flat, F.lit(0.0)).otherwise(F.round(F.avg("residual"), 6) + 0.0)
+    return left.groupBy("unit", "part", "rank").agg(mean.alias("mean"), F.round(F.avg(F.col("residual") * F.col("residual")), 6).alias("variance"))
+
+
+@query(f"WITH {V.SIGNAL} SELECT unit, least(count(DISTINCT sample), 12) AS drawn, true AS once FROM signal GROUP BY 1")
+def random_subset_rules(spark, d):
+    """At most twelve samples of a unit, by a random order that depends on the seed alone, none twice."""
+    keys = V.signal(spark, d).select("unit", "sample").distinct().withColumn("h", resample.hash_order(3, F.col("unit"), F.col("sample")))
+    w = Window.partitionBy("unit").orderBy("h", "sample")  # the samples of a unit
+    drawn = keys.withColumn("k", F.row_number().over(w)).where("k <= 12")
+    return drawn.groupBy("unit").agg(F.count("*").alias("drawn"), (F.count_distinct("sample") == F.count("*")).alias("once"))
