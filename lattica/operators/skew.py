@@ -37,15 +37,18 @@ def salted(left: DataFrame, right: DataFrame, lk: Sequence[str], rk: Sequence[st
     return left.drop(f"{base}n", f"{base}p", *tags), right.drop(f"{base}n", *tags), slot
 
 
-def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES, null_safe: bool = False, counted: DataFrame | None = None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES, null_safe: bool = False, counted: DataFrame | None = None, small: bool | None = None) -> DataFrame:
     """``left`` with the other columns of ``right``, which has one row per ``on``: by broadcast if ``right`` is counted
     small, else shuffled with hot keys of ``left`` salted.  ``how``: left or inner.  Null keys find nothing, or
     each other with ``null_safe``.  ``right`` should be written, as it is counted first; or else ``counted`` be written and
-    have as many rows as it."""
+    have as many rows as it, or ``small`` tell what a count of at least its rows said."""
     base = colname(left.columns, right.columns, base="_lk")
     tags = [f"{base}k{i}" for i in range(len(on))]
     side = right.select(*[q(c).alias(t) for c, t in zip(on, tags)], *[q(c) for c in right.columns if c not in on])
-    side, small = small_enough(side, limit, counted)
+    if small is None:
+        side, small = small_enough(side, limit, counted)
+    elif small:
+        side = F.broadcast(side)
     cond, drop = F.lit(True), list(tags)
     if not small:
         left, side, slot = salted(left, side, on, tags, base)
