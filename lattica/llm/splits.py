@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lattica.functions.keys import leading_tokens
 from lattica.operators.hotkeys import number_rows
 from lattica.operators.skew import lookup
-from lattica.session import q, written
+from lattica.session import q, small_enough, written
 
 #: Totals are held in units so that a bitset has at most this many bits.
 MOST_BITS = 1 << 20
@@ -32,14 +32,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -
     edges = written(ends.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "edges")
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     parent = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("parent")), "parent")
+    _, small = small_enough(parent.withColumn("grand", F.col("parent")))  # there are as many nodes in every round, and no more hooks
     for _ in range(rounds):
         up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         ru = parent.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
         rv = parent.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
         # hook: the larger of two roots that a link connects goes under the smallest root it meets
-        tied = lookup(lookup(edges, ru, ["u"], "inner"), rv, ["v"], "inner")
-        hooks = written(tied.where("pu <> pv").groupBy(F.greatest("pu", "pv").alias("parent")).agg(F.min(F.least("pu", "pv")).alias("hooked")), "hooks")
-        moved = lookup(lookup(parent, up, ["parent"]), hooks, ["parent"])
+        tied = lookup(lookup(edges, ru, ["u"], "inner", small=small), rv, ["v"], "inner", small=small)
+        hooks = tied.where("pu <> pv").groupBy(F.greatest("pu", "pv").alias("parent")).agg(F.min(F.least("pu", "pv")).alias("hooked"))
+        moved = lookup(lookup(parent, up, ["parent"], small=small), hooks if small else written(hooks, "hooks"), ["parent"], small=small)
         # shortcut: to the grandparent, or to what the parent was hooked to
         step = moved.select("node", F.least(F.coalesce("grand", "parent"), F.coalesce("hooked", "parent")).alias("to"), (F.col("parent")).alias("was"))
         step = written(step, "parent")
