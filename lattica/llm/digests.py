@@ -160,9 +160,9 @@ def _schema(df: DataFrame, by: Sequence[str], fields: Sequence[str]) -> str:
     return ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by], *[f"`{f}` {_SQL}" for f in fields]])
 
 
-def digest(df: DataFrame, by: Sequence[str], fields: Sequence[str], delta: float = DELTA) -> DataFrame:
+def digest(df: DataFrame, by: Sequence[str], fields: Sequence[str], delta: float = DELTA, qs: Sequence[float] = ()) -> DataFrame:
     """One digest per group.  Tasks cluster what they read before anything is shuffled; a group that fills many
-    tasks arrives as their few centroids."""
+    tasks arrives as their few centroids.  ``qs`` as for :func:`merge`."""
     keys = len(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,14 +177,19 @@ def digest(df: DataFrame, by: Sequence[str], fields: Sequence[str], delta: float
             yield _joined(held[0].schema.names, _table(held), keys, delta, _from_values)[0]
 
     raw = df.select(*[q(c) for c in by], *[q(c).cast("double").alias(c) for c in fields])
-    return merge(raw.mapInArrow(run, _schema(df, by, fields)), by, fields, delta)
+    return merge(raw.mapInArrow(run, _schema(df, by, fields)), by, fields, delta, qs)
 
 
-def merge(digests: DataFrame, by: Sequence[str], fields: Sequence[str], delta: float = DELTA) -> DataFrame:
+def merge(digests: DataFrame, by: Sequence[str], fields: Sequence[str], delta: float = DELTA, qs: Sequence[float] = ()) -> DataFrame:
     """Digests of the same groups, from parts, days or finer groups, as one per group of ``by``.  A task sees
     its groups one after another and clusters again whenever it holds enough, so a group of any size needs
-    no more memory than others."""
-    keys = len(by)
+    no more memory than others.  With ``qs`` the estimates of every field (:func:`estimates`) come with the digests,
+    as columns :func:`found_name`."""
+    keys, points = len(by), np.array(qs, float)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, *[_estimate(c, points) for c in b.columns[keys:]]], names=[*b.schema.names, *[found_name(f) for f in b.schema.names[keys:]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -207,7 +212,40 @@ def merge(digests: DataFrame, by: Sequence[str], fields: Sequence[str], delta: f
     if tasks > JOINED:  # a group's digests from many tasks are first joined in parts
         part = F.pmod(F.spark_partition_id(), F.lit(-(-tasks // JOINED)))
         out = out.repartition(*cols, part).sortWithinPartitions(*cols).mapInArrow(run, schema)
-    return out.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(run, schema)
+    out = out.repartition(*cols).sortWithinPartitions(*cols)
+    return out.mapInArrow(whole, ", ".join([schema, *[f"`{found_name(f)}` {_FOUND}" for f in fields]])) if qs else out.mapInArrow(run, schema)
+
+
+def found_name(field: str) -> str:
+    """The column of a field's estimates beside its digest."""
+    return f"{field} estimates"
+
+
+_FOUND = "struct<n: bigint, estimates: array<double>>"
+
+
+def _estimate(column: pa.StructArray, points: np.ndarray) -> pa.StructArray:
+    """(n, estimates) of a column of digests, null where there are no values."""
+    sizes, means, weights, least, greatest, odd = _parts(column)
+    first = np.cumsum(sizes) - sizes
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    finite = np.bincount(group, weights, len(sizes))
+    n = finite + odd[:, 0] + odd[:, 1]
+    at = points[None, :] * np.maximum(n - 1, 0)[:, None] - odd[:, :1]
+    inside = np.clip(at, 0, np.maximum(finite - 1, 0)[:, None])
+    got = np.zeros(at.shape)
+    some = sizes > 0
+    if some.any():
+        k = np.floor(inside[some]).astype(np.int64)
+        top = (sizes[some] - 1)[:, None]
+        a = means[np.minimum(first[some][:, None] + np.minimum(k, top), len(means) - 1)]
+        z = means[np.minimum(first[some][:, None] + np.minimum(k + 1, top), len(means) - 1)]
+        got[some] = a + (z - a) * (inside[some] - k)
+    for i in np.flatnonzero(finite > sizes):  # centroids of several values
+        m, w = means[first[i] : first[i] + sizes[i]], weights[first[i] : first[i] + sizes[i]]
+        got[i] = np.interp(inside[i], np.r_[0.0, np.cumsum(w) - w / 2 - 0.5, finite[i] - 1], np.r_[least[i], m, greatest[i]])
+    got = np.where(at < -0.5, -np.inf, np.where(at > finite[:, None] - 0.5, np.inf, got))
+    return pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), _lists(got.ravel(), np.full(len(n), len(points)), _DOUBLES)], names=["n", "estimates"], mask=pa.array(n == 0))
 
 
 def estimates(digests: DataFrame, by: Sequence[str], fields: Sequence[str], qs: Sequence[float] = QS) -> DataFrame:
@@ -216,34 +254,11 @@ def estimates(digests: DataFrame, by: Sequence[str], fields: Sequence[str], qs:
     around the place ``q * (n - 1)``.  Null for a field without values."""
     keys, points = len(by), np.array(qs, float)
 
-    def one(column: pa.StructArray) -> pa.StructArray:
-        sizes, means, weights, least, greatest, odd = _parts(column)
-        first = np.cumsum(sizes) - sizes
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        finite = np.bincount(group, weights, len(sizes))
-        n = finite + odd[:, 0] + odd[:, 1]
-        at = points[None, :] * np.maximum(n - 1, 0)[:, None] - odd[:, :1]
-        inside = np.clip(at, 0, np.maximum(finite - 1, 0)[:, None])
-        got = np.zeros(at.shape)
-        some = sizes > 0
-        if some.any():
-            k = np.floor(inside[some]).astype(np.int64)
-            top = (sizes[some] - 1)[:, None]
-            a = means[np.minimum(first[some][:, None] + np.minimum(k, top), len(means) - 1)]
-            z = means[np.minimum(first[some][:, None] + np.minimum(k + 1, top), len(means) - 1)]
-            got[some] = a + (z - a) * (inside[some] - k)
-        for i in np.flatnonzero(finite > sizes):  # centroids of several values
-            m, w = means[first[i] : first[i] + sizes[i]], weights[first[i] : first[i] + sizes[i]]
-            got[i] = np.interp(inside[i], np.r_[0.0, np.cumsum(w) - w / 2 - 0.5, finite[i] - 1], np.r_[least[i], m, greatest[i]])
-        got = np.where(at < -0.5, -np.inf, np.where(at > finite[:, None] - 0.5, np.inf, got))
-        found = n > 0
-        return pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), _lists(got.ravel(), np.full(len(n), len(points)), _DOUBLES)], names=["n", "estimates"], mask=pa.array(~found))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:keys], *[one(b.column(i)) for i in range(keys, b.num_columns)]], names=b.schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:keys], *[_estimate(b.column(i), points) for i in range(keys, b.num_columns)]], names=b.schema.names)
 
-    schema = ", ".join([*[f"`{c}` {digests.schema[c].dataType.simpleString()}" for c in by], *[f"`{f}` struct<n: bigint, estimates: array<double>>" for f in fields]])
+    schema = ", ".join([*[f"`{c}` {digests.schema[c].dataType.simpleString()}" for c in by], *[f"`{f}` {_FOUND}" for f in fields]])
     return digests.select(*[q(c) for c in by], *[q(f) for f in fields]).mapInArrow(run, schema)
 
 
@@ -282,9 +297,9 @@ def percentiles(df: DataFrame, by: Sequence[str], fields: Sequence[str], qs: Seq
     after ROUNDS rounds, ValueError names how many.  Groups without any value of a field have no row for it."""
     made, todo, results, again = None, df, None, None
     for _ in range(ROUNDS):
-        digests = written(digest(todo, by, fields, delta), "digest")
-        made = digests if made is None else made
-        sure = certify(todo, written(estimates(digests, by, fields, qs), "found"), by, fields, qs)
+        both = written(digest(todo, by, fields, delta, qs), "digest")
+        made = both.select(*[q(c) for c in by], *[q(f) for f in fields]) if made is None else made
+        sure = certify(todo, both.select(*[q(c) for c in by], *[q(found_name(f)).alias(f) for f in fields]), by, fields, qs)
         if again is not None:  # only the fields that missed the bound
             sure = lookup(sure, again, [*by, "field"], "inner", null_safe=True)
         sure = written(sure, "certified")
