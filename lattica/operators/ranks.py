@@ -1,7 +1,8 @@
 """Ranks over any number of rows without a window that draws a group into one task.
 
-Values are counted, the counts are range-partitioned by (group, value), and each range numbers its
-own values on top of the totals of the ranges before it.  Tied values share their average rank.
+Values are counted.  Where the counts themselves are few they are sorted by group; else they are
+range-partitioned by (group, value), and each range numbers its own values on top of the totals of the
+ranges before it.  Tied values share their average rank.
 """
 
 from __future__ import annotations
@@ -12,10 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.bins import pearson
-from lattica.operators.skew import lookup
+from lattica.operators.skew import join_keys, lookup
 from lattica.session import colname, parallelism, q, written
 
 
+#: Up to so many distinct values of all groups are sorted by group; more are cut into ranges.
+MOST_SORTED = 500_000
+
+
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., value, n, before, total): of each distinct value its rows, the rows below it and all rows of
     its group.  Null and NaN values have no rank."""
@@ -27,6 +32,10 @@ def _ranks(df: DataFrame, value: str, by: Sequence[str]) -> tuple[DataFrame, Dat
     keys = [q(c) for c in by]
     known = df.where(q(value).isNotNull() & ~F.isnan(q(value).cast("double")))
     counts = known.groupBy(*keys, q(value)).agg(F.count("*").alias("n"))
+    counts = written(counts, "counts")
+    if counts.limit(MOST_SORTED + 1).count() <= MOST_SORTED:
+        along = Window.partitionBy(*keys).orderBy(q(value)).rowsBetween(Window.unboundedPreceding, -1)  # bounded by the count
+        return counts.select(*keys, q(value), "n", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(*keys)).alias("total")), counts
     ranged = written(counts.repartitionByRange(parallelism(df.sparkSession), *keys, q(value)).withColumn("_range", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy(*keys, "_range").agg(F.sum("n").alias("_in"))
     up = Window.partitionBy(*keys).orderBy("_range")  # as many rows as ranges
@@ -34,7 +43,7 @@ def _ranks(df: DataFrame, value: str, by: Sequence[str]) -> tuple[DataFrame, Dat
     totals = totals.withColumn("total", F.sum("_in").over(Window.partitionBy(*keys))).drop("_in")
     inside = Window.partitionBy(*keys, "_range").orderBy(q(value)).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    joined = local.join(totals, [*by, "_range"])
+    joined = join_keys(local, totals, [*by, "_range"])
     return joined.select(*keys, q(value), "n", (F.col("_offset") + F.col("_local")).alias("before"), "total"), ranged
 
 
@@ -84,7 +93,7 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), out: str =
     above = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     tops = ranged.groupBy(*keys, "_range").agg(F.min("_raw").alias("_least")).withColumn("_above", F.min("_least").over(above)).drop("_least")
     inside = Window.partitionBy(*keys, "_range").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    final = ranged.withColumn("_own", F.min("_raw").over(inside)).join(tops, [*by, "_range"]).select(*keys, q(p), F.least(F.col("_own"), F.col("_above"), F.lit(1.0)).alias(out))
+    final = join_keys(ranged.withColumn("_own", F.min("_raw").over(inside)), tops, [*by, "_range"]).select(*keys, q(p), F.least(F.col("_own"), F.col("_above"), F.lit(1.0)).alias(out))
     return _attached(df, final, p, by, ranged)
 
 
@@ -95,7 +104,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = ())
     ties = r.groupBy(*[q(c) for c in by]).agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("_ties"))
     ranked = average_rank(df.select(*[q(c) for c in by], q(value), q(group)), value, by, "_r").where(F.col("_r").isNotNull() & q(group).isNotNull())
     sums = ranked.groupBy(*[q(c) for c in by]).agg(F.count_if(q(group)).alias("n1"), F.count_if(~q(group)).alias("n2"), F.sum(F.when(q(group), F.col("_r"))).alias("_s"))
-    both = sums.join(ties, list(by)) if by else sums.crossJoin(ties)  # one row each
+    both = join_keys(sums, ties, list(by)) if by else sums.crossJoin(ties)  # one row each
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("_s") - n1 * (n1 + 1) / 2

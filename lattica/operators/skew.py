@@ -18,6 +18,13 @@ def matches(left: Sequence[str], right: Sequence[str], null_safe: bool = True) -
     return cond
 
 
+def join_keys(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right`` where all of ``on`` are equal, nulls too."""
+    tags = [colname(left.columns, right.columns, base=f"_on{i}") for i in range(len(on))]
+    side = right.withColumnsRenamed(dict(zip(on, tags)))
+    return left.join(side, matches(on, tags), how).drop(*tags)
+
+
 def salted(left: DataFrame, right: DataFrame, lk: Sequence[str], rk: Sequence[str], base: str) -> tuple[DataFrame, DataFrame, str]:
     """Spread keys that hold more than a partition's share of ``left`` over as many salts as their share
     needs, equal rows too; ``right`` has those keys' rows once per salt.  The sides then also match on
@@ -72,10 +79,10 @@ def carried_last(blocks: DataFrame, keys: Sequence[str], order: Sequence[Column]
     inside = Window.partitionBy(*ks, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = blocks.withColumn("_own", F.last(q(value), ignorenulls=True).over(inside))
     ends = blocks.where(q(value).isNotNull()).groupBy(*ks, "_block").agg(F.max_by(q(value), F.struct(*order)).alias("_end"))
-    every = blocks.select(*ks, "_block").distinct().join(ends, [*keys, "_block"], "left")
+    every = join_keys(blocks.select(*ks, "_block").distinct(), ends, [*keys, "_block"], "left")
     before = Window.partitionBy(*ks).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = every.withColumn("_in", F.last("_end", ignorenulls=True).over(before)).where("_in IS NOT NULL").select(*ks, "_block", "_in")
-    return local.join(carry, [*keys, "_block"], "left").withColumn(out, F.coalesce("_own", "_in")).drop("_own", "_in")
+    return join_keys(local, carry, [*keys, "_block"], "left").withColumn(out, F.coalesce("_own", "_in")).drop("_own", "_in")
 
 
 def carried_sum(blocks: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
@@ -86,7 +93,7 @@ def carried_sum(blocks: DataFrame, keys: Sequence[str], order: Sequence[Column],
     sums = blocks.groupBy(*ks, "_block").agg(F.sum(q(value)).alias("_sum"))
     before = Window.partitionBy(*ks).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.withColumn("_in", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    return local.join(carry, [*keys, "_block"]).withColumn(out, F.col("_own") + F.col("_in")).drop("_own", "_in")
+    return join_keys(local, carry, [*keys, "_block"]).withColumn(out, F.col("_own") + F.col("_in")).drop("_own", "_in")
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:

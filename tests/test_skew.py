@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import interval, skew
+from lattica.operators import interval, ranks, skew
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 0])
@@ -41,3 +41,24 @@ def test_equal_rows_and_null_keys_are_spread(spark):
     assert all(n > 1 for _, n in salts) and len(salts) == 2
     got = skew.lookup(left, right.withColumnRenamed("k2", "k"), ["k"], "inner", 0, True).groupBy("k").count().collect()
     assert {r["k"]: r["count"] for r in got} == {None: 2000, "hot": 1800}
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_ranks_of_few_and_of_many_values(spark, monkeypatch, most):
+    monkeypatch.setattr(ranks, "MOST_SORTED", most)
+    rows = [("g", float(i % 37) if i % 11 else None, i) for i in range(900)] + [("h", 1.0, 900), ("h", float("nan"), 901), (None, 2.0, 902)]
+    df = spark.createDataFrame(rows, "g string, x double, id long")
+    got = {r.id: r["rank"] for r in ranks.average_rank(df, "x", ["g"]).collect()}
+    known = sorted(x for g, x, _ in rows if g == "g" and x is not None)
+    for g, x, i in rows:
+        if g == "g":
+            want = None if x is None else known.index(x) + (known.count(x) + 1) / 2
+            assert got[i] == want
+    assert got[900] == 1 and got[901] is None and got[902] == 1
+
+
+def test_states_of_a_null_key_are_carried_too(spark):
+    df = spark.range(1500).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("t"), F.when(F.col("id") == 3, 7).alias("v"), F.lit(1).alias("one"))
+    b = skew.ordered_blocks(df, ["k"], ["t"])
+    got = {r.t: (r.last, r.total) for r in skew.carried_sum(skew.carried_last(b, ["k"], [F.col("t")], "v", "last"), ["k"], [F.col("t")], "one", "total").collect()}
+    assert len(got) == 1500 and got[2] == (None, 3) and got[1499] == (7, 1500)
