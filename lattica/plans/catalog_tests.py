@@ -497,14 +497,14 @@ _PLACED = (
 
 @query(
     _PLACED
-    + """ SELECT a.unit, l.lag, round(avg(a.z * b.z), 6) AS correlation, count(*) AS pairs FROM z a JOIN (SELECT cast(unnest(range(1, 13)) AS int) AS lag) l ON true
+    + """ SELECT a.unit, l.lag, round(avg(a.z * b.z), 6) + 0.0 AS correlation, count(*) AS pairs FROM z a JOIN (SELECT cast(unnest(range(1, 13)) AS int) AS lag) l ON true
   JOIN z b ON b.unit = a.unit AND b.sample = a.sample AND b.part = a.part AND b.i = a.i + l.lag GROUP BY 1, 2"""
 )
 def expression_lag_profile(spark, d):
     """Lag profiles of normalised expression along chromosomes; values that a sample lacks keep their place."""
     z = sig.zscore(_norm(spark, d).where("value IS NOT NULL"), "value", sig.POSITION)
     got = lag.gapped_profile(lag.gapped_arrays(z), range(1, 13))
-    return got.select("unit", "lag", *r6("correlation"), "pairs")
+    return got.select("unit", "lag", (F.round("correlation", 6) + 0.0).alias("correlation"), "pairs")  # no negative zero
 
 
 @query(
