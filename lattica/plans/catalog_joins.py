@@ -392,8 +392,10 @@ def tost_equivalence(spark, d):
 
 @query()
 def robust_hc3(spark, d):
-    c = table(spark, d, "customer").join(table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean")), "c_custkey")
-    return regress.robust(c, "c_acctbal", ["n", "mean"]).select("term", *r6("coef", "se", "ci_low", "ci_high", "p"), "n")
+    """Balances on the number of orders and their mean price in thousands."""
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), (F.avg("o_totalprice") / 1000).alias("mean"))
+    got = regress.robust(table(spark, d, "customer").join(o, "c_custkey"), "c_acctbal", ["n", "mean"])
+    return got.select("term", *[F.round(c, 4).alias(c) for c in ("coef", "se", "ci_low", "ci_high")], F.round("p", 6).alias("p"), "n")
 
 
 @query()

@@ -188,6 +188,16 @@ def robust_line(spark, d):
     return regress.robust(table(spark, d, "customer").join(o, "c_custkey"), "c_acctbal", ["x"]).select("term", *r6("coef", "se"), "n")
 
 
+catalog.SQL["robust_hc3"] = f"""
+  WITH x AS (SELECT c_acctbal AS y, n AS x1, mean AS x2 FROM customer JOIN (SELECT o_custkey, count(*) AS n, avg(o_totalprice) / 1000 AS mean FROM orders GROUP BY 1) o ON o_custkey = c_custkey),
+  m AS (SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, regr_sxx(x1, x1) AS s11, regr_sxx(x2, x2) AS s22, regr_sxy(x1, x2) AS s12, regr_sxy(y, x1) AS t1, regr_sxy(y, x2) AS t2 FROM x),
+  b AS (SELECT *, (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) AS b1, (t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12) AS b2, s11 * s22 - s12 * s12 AS det FROM m),
+  a AS (SELECT *, (s22 * (x1 - m1) - s12 * (x2 - m2)) / det AS a1, (s11 * (x2 - m2) - s12 * (x1 - m1)) / det AS a2, y - my - b1 * (x1 - m1) - b2 * (x2 - m2) AS e FROM x, b),
+  w AS (SELECT *, (e / (1 - (1.0 / n + a1 * (x1 - m1) + a2 * (x2 - m2)))) ** 2 AS w FROM a),
+  r AS (SELECT 'n' AS term, max(b1) AS coef, sqrt(sum(a1 * a1 * w)) AS se, max(n) AS n FROM w UNION ALL SELECT 'mean', max(b2), sqrt(sum(a2 * a2 * w)), max(n) FROM w
+    UNION ALL SELECT 'intercept', max(my - b1 * m1 - b2 * m2), sqrt(sum((1.0 / n - m1 * a1 - m2 * a2) ** 2 * w)), max(n) FROM w)
+  SELECT term, round(coef, 4) AS coef, round(se, 4) AS se, round(coef - 1.959963984540054 * se, 4) AS ci_low, round(coef + 1.959963984540054 * se, 4) AS ci_high, round({_TAIL.format(z="(coef / se)")}, 6) AS p, n FROM r"""
+
 _CLUSTERED = f"""WITH {V.PAIRS}, x AS (SELECT part AS g, r AS y, ln(contact_kr + 1) AS x FROM pairs WHERE contact_kr IS NOT NULL AND r IS NOT NULL AND part IS NOT NULL),
   m AS (SELECT count(*) AS n, count(DISTINCT g) AS k, avg(x) AS mx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx FROM x),
   u AS (SELECT g, sum((x - mx) * (y - a - b * x)) / max(sxx) AS ub, sum((1.0 / n - mx * (x - mx) / sxx) * (y - a - b * x)) AS ua FROM x, m GROUP BY 1)"""
