@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.tails import normal_sf
+from lattica.operators.ranks import value_ranks
 from lattica.operators.regress import moments, solve
 from lattica.operators.skew import numbered
 from lattica.session import q
@@ -123,25 +124,38 @@ def block_means(df: DataFrame, value: str, level: str, block: str, replicates: i
     return spark.createDataFrame([(lv, float(point[i]), *ends(draws[:, i]), float(rp[i]), *ends(rd[:, i])) for i, lv in enumerate(s.columns)], schema)
 
 
+def _middle_places(rng: np.random.Generator, n: int, replicates: int) -> np.ndarray:
+    """Per replicate the places, from 0 in the order of ``n`` values, of the two middle values of a resample of ``n`` (of
+    the middle one twice, if ``n`` is odd).  A resample takes the values at the places ``floor(n * u)`` of uniform draws u;
+    the k-th smallest of n draws is Beta(k, n + 1 - k), the next one the least of n - k draws above it."""
+    k = (n + 1) // 2
+    low = rng.beta(k, n + 1 - k, replicates)
+    high = low if n % 2 else low + (1 - low) * rng.beta(1, n - k, replicates)
+    return np.minimum(np.floor(n * np.column_stack([low, high])).astype(np.int64), n - 1)
+
+
 def median_contrast(df: DataFrame, value: str, group: str, key: str | None = None, replicates: int = 5000, seed: int = 4) -> dict[str, float]:
     """The difference of the medians of two groups (true minus false), its percentile interval over resamples within
-    groups and the two-sided bootstrap p, at least one over the replicates.  The distinct values come to the driver
-    with their counts, up to MOST_BLOCKS; a resample draws how often each value comes.  ``key`` is not needed."""
+    groups and the two-sided bootstrap p, at least one over the replicates.  The values are counted and ranked where they
+    are; the places of the resamples' middle values are drawn on the driver, which gets the values between the first and
+    the last of them: about four times the square root of the rows.  ``key`` is not needed."""
     x = q(value).cast("double")
-    counts = df.where(x.isNotNull() & ~F.isnan(x) & q(group).isNotNull()).groupBy(x.alias("v"), q(group).cast("boolean").alias("g")).agg(F.count("*").alias("n")).limit(MOST_BLOCKS + 1).toPandas().sort_values("v")
-    if len(counts) > MOST_BLOCKS:
-        raise ValueError("too many distinct values to resample")
-    sides = [(c["v"].to_numpy(float), c["n"].to_numpy()) for c in (counts[counts["g"]], counts[~counts["g"]])]
-    if not all(len(v) for v, _ in sides):
+    known = df.where(x.isNotNull() & ~F.isnan(x) & q(group).isNotNull()).select(x.alias("v"), q(group).cast("boolean").alias("g"))
+    ranked = value_ranks(known, "v", ["g"])
+    totals = {r["g"]: r["total"] for r in ranked.groupBy("g").agg(F.max("total").alias("total")).collect()}
+    if len(totals) < 2:
         return {"difference": float("nan"), "ci_low": float("nan"), "ci_high": float("nan"), "p": float("nan")}
+    rng = np.random.default_rng(seed)
+    places = {g: np.vstack([[(totals[g] - 1) // 2, totals[g] // 2], _middle_places(rng, totals[g], replicates)]) for g in (True, False)}  # first the groups' own
+    wanted = [(F.col("g") == g) & (F.col("before") + F.col("n") > int(at.min())) & (F.col("before") <= int(at.max())) for g, at in places.items()]
+    found = ranked.where(wanted[0] | wanted[1]).select("g", "v", "before").toPandas().sort_values("before")
 
-    def median(v: np.ndarray, n: np.ndarray) -> float:
-        upto = np.cumsum(n)
-        return float(v[np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], "right")].mean())
+    def medians(g: bool) -> np.ndarray:
+        own = found[found["g"] == g]
+        return own["v"].to_numpy(float)[np.searchsorted(own["before"].to_numpy(), places[g], "right") - 1].mean(1)
 
-    rng = np.random.default_rng(seed)
-    a, b = (np.array([median(v, rng.multinomial(n.sum(), n / n.sum())) for _ in range(replicates)]) for v, n in sides)
-    d, difference = a - b, median(*sides[0]) - median(*sides[1])
+    difference, *d = medians(True) - medians(False)
+    d = np.array(d)
     p = max(2 * min((d <= 0).mean(), (d >= 0).mean()), 1 / replicates)
     return {"difference": float(difference), "ci_low": float(np.percentile(d, 2.5)), "ci_high": float(np.percentile(d, 97.5)), "p": float(min(p, 1.0))}
 

@@ -170,6 +170,28 @@ def test_medians_halves_and_random_sets(spark):
     assert z.observed == 2 and 1 < z.expected < 3 and z.sd > 0
 
 
+def test_median_contrast_of_any_number_of_values(spark, monkeypatch):
+    n = resample.MOST_BLOCKS + 2
+    even = F.col("id") % 2 == 0
+    df = spark.range(n).select(even.alias("g"), (F.col("id") / 4 + F.when(even, 10).otherwise(0)).alias("v"))
+    m = resample.median_contrast(df, "v", "g", replicates=400)
+    spread = n / 4 / 2 / (n / 2) ** 0.5 * 2**0.5  # the standard error of the difference of two medians of uniform values
+    assert m["difference"] == 9.75 and m["ci_low"] < 9.75 < m["ci_high"] and m["p"] > 0.5
+    assert m["ci_high"] - m["ci_low"] == pytest.approx(2 * 1.96 * spread, rel=0.2)
+    monkeypatch.setattr("lattica.operators.ranks.MOST_SORTED", 1000)  # the way of more values
+    assert resample.median_contrast(df, "v", "g", replicates=400) == m
+    one = resample.median_contrast(df.where("g"), "v", "g")
+    assert all(np.isnan(v) for v in one.values())
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 6])
+def test_middle_places_are_those_of_resamples(n):
+    rng, reps = np.random.default_rng(5), 100_000
+    drawn = np.sort(rng.integers(0, n, (reps, n)), 1)[:, [(n - 1) // 2, n // 2]]
+    share = lambda at: np.bincount(at[:, 0] * n + at[:, 1], minlength=n * n) / reps
+    assert np.abs(share(resample._middle_places(rng, n, reps)) - share(drawn)).max() < 0.01
+
+
 def test_fits_recover_parameters():
     c = np.logspace(0, 3, 20)
     rng = np.random.default_rng(3)
