@@ -14,8 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators.skew import lookup, numbered
-from lattica.session import q, written
+from lattica.operators.skew import join_keys, lookup, numbered
+from lattica.session import q, small_enough, written
 
 
 @dataclass(frozen=True)
@@ -176,33 +176,45 @@ def quantile_cuts(values: DataFrame, by: str, value: str, parts: int) -> DataFra
 
 
 def drift(counts: DataFrame, rules: Sequence[FieldRule], bins: int = 10, least: float = 1e-4) -> DataFrame:
-    """Per load and field the population stability index and chi-square of its valid values against
-    all other loads.  Numbers fall into ``bins`` cells at the quantiles of the table's distinct values, texts stand for
-    themselves; shares below ``least`` count as ``least`` in the index."""
+    """Per load and field, null loads too: ``load_n`` valid values in ``cells`` cells, and their population stability
+    index and chi-square against all other loads.  Numbers fall into ``bins`` cells at the quantiles of the table's
+    distinct values, texts stand for themselves; shares below ``least`` count as ``least`` in the index.  Cells that a
+    load lacks count in both figures; ``psi_present`` is the index without them.  A load without valid values
+    has ``load_n`` 0 and no figures."""
+    keys = ["group_key", "field"]
     numeric = [r.name for r in rules if r.numeric]
     ok = counts.where("valid")
     cuts = quantile_cuts(ok.where(F.col("field").isin(numeric)).select("field", "number").distinct(), "field", "number", bins)
     cell = F.when(F.col("cuts").isNotNull(), F.size(F.filter("cuts", lambda e: e < F.col("number"))).cast("string")).otherwise(F.col("text"))
-    binned = ok.join(F.broadcast(cuts), "field", "left").withColumn("cell", cell).groupBy("group_key", "field", "cell").agg(F.sum("n").alias("n"))
-    totals = binned.groupBy("group_key", "field").agg(F.sum("n").alias("load_n"))
+    binned = ok.join(F.broadcast(cuts), "field", "left").withColumn("cell", cell).groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
+    totals = written(counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("valid"), F.col("n"))), F.lit(0)).alias("load_n")), "totals")
     cells = binned.groupBy("field", "cell").agg(F.sum("n").alias("cell_n"))
-    whole = binned.groupBy("field").agg(F.sum("n").alias("all_n"))
-    # a load's absent cells count too: their part of both sums follows from the sums over present cells
-    grid = binned.join(cells, ["field", "cell"]).join(totals, ["group_key", "field"]).join(F.broadcast(whole), "field")
-    rest_n = F.col("all_n") - F.col("load_n")
+    whole = totals.groupBy("field").agg(F.sum("load_n").alias("all_n"), F.max("load_n").alias("_most"))
+    loads = totals.join(F.broadcast(whole.drop("_most")), "field").withColumn("rest_n", F.col("all_n") - F.col("load_n"))
+    grid = join_keys(binned.join(cells, ["field", "cell"]), loads, keys)
+    others = F.when(F.col("rest_n") > 0, F.col("rest_n"))
     here = F.greatest(F.col("n") / F.col("load_n"), F.lit(least))
-    rest_share = F.when(rest_n > 0, (F.col("cell_n") - F.col("n")) / F.when(rest_n > 0, rest_n))
-    rest = F.greatest(rest_share, F.lit(least))
+    rest = F.greatest((F.col("cell_n") - F.col("n")) / others, F.lit(least))
     expected = F.col("cell_n") * F.col("load_n") / F.col("all_n")
-    present = grid.groupBy("group_key", "field").agg(
-        F.sum((here - rest) * F.log(here / rest)).alias("_psi"),
+    # a cell that a load lacks adds to the index if the others' share is above ``least``: 1 / least cells of a load at most
+    share = F.col("cell_n") / others
+    could_lack = (F.col("cell_n") > least * F.col("rest_n")) & (F.col("cell_n") <= F.col("rest_n"))
+    lacked = F.sum(F.when(could_lack, (least - share) * F.log(least / share)))
+    present = grid.groupBy(*keys).agg(
+        F.sum((here - rest) * F.log(here / rest)).alias("psi_present"),
         F.sum((F.col("n") - expected) ** 2 / expected).alias("_chi"),
         F.sum(expected).alias("_exp"),
-        F.max("load_n").alias("load_n"),
         F.count("*").alias("cells"),
+        lacked.alias("_held"),
     )
+    frequent = cells.join(F.broadcast(whole), "field").where(F.col("cell_n") > least * (F.col("all_n") - F.col("_most"))).select("field", "cell_n")
+    side, _ = small_enough(loads, counted=totals)
+    every = frequent.join(side, "field").where(could_lack).groupBy(*keys).agg(lacked.alias("_every"))
+    found = join_keys(join_keys(totals, present, keys, "left"), every, keys, "left")
+    absent = F.greatest(F.coalesce("_every", F.lit(0.0)) - F.coalesce("_held", F.lit(0.0)), F.lit(0.0))
     # expected counts of absent cells sum to load_n minus those of present ones, each adding its expectation to chi-square
-    return present.select("group_key", "field", "load_n", "cells", F.col("_psi").alias("psi"), (F.col("_chi") + F.col("load_n") - F.col("_exp")).alias("chi_square"))
+    chi = F.col("_chi") + F.col("load_n") - F.col("_exp")
+    return found.select(*keys, "load_n", F.coalesce("cells", F.lit(0)).alias("cells"), (F.col("psi_present") + absent).alias("psi"), "psi_present", chi.alias("chi_square"))
 
 
 def drifted_profile(df: DataFrame, rules: Sequence[FieldRule], group: str) -> tuple[DataFrame, DataFrame]:

@@ -61,6 +61,15 @@ _DRIFT = f"""
   SELECT load_no, f AS field_name, cast(max(load_n) AS bigint) AS load_n, count(*) AS cells, round(sum((here - rest) * ln(here / rest)), 6) AS psi,
     round(sum((n - want) ** 2 / want) + max(load_n) - sum(want), 4) AS chi_square FROM h GROUP BY load_no, f"""
 
+# every load and field, loads without valid values too, and every cell of a field, those that a load lacks too
+_DRIFT_WHOLE = f"""{_DRIFT[: _DRIFT.index("  g AS (")]}
+  l AS (SELECT load_no, f, count(*) FILTER (ok) AS load_n FROM ({_EVERY}) y GROUP BY load_no, f),
+  c AS (SELECT f, cell, sum(n) AS cell_n, sum(sum(n)) OVER (PARTITION BY f) AS all_n FROM b GROUP BY f, cell),
+  g AS (SELECT l.load_no, l.f, load_n, cell_n, all_n, coalesce(b.n, 0) AS n FROM l JOIN c ON c.f = l.f LEFT JOIN b ON b.load_no IS NOT DISTINCT FROM l.load_no AND b.f = c.f AND b.cell = c.cell WHERE load_n > 0),
+  h AS (SELECT *, cell_n * load_n / all_n AS want, greatest(n / load_n, 0.0001) AS here, CASE WHEN all_n > load_n THEN greatest((cell_n - n) / (all_n - load_n), 0.0001) ELSE 0.0001 END AS rest FROM g)
+  SELECT load_no, f AS field_name, load_n, count(*) FILTER (n > 0) AS cells, round(sum((here - rest) * ln(here / rest)), 6) AS psi, round(sum((n - want) ** 2 / want), 4) AS chi_square FROM h GROUP BY load_no, f, load_n
+  UNION ALL SELECT load_no, f, load_n, 0, NULL, NULL FROM l WHERE load_n = 0"""
+
 _BURDEN = """
   SELECT '{table}' AS in_table, {key} AS sample_key, count(*) AS n_rows, sum(cast(coalesce(p, false) AS bigint)) AS n_pass,
     sum(cast(coalesce(contains(e, 'missense_variant'), false) AS bigint)) AS n_missense, sum(cast(coalesce(contains(e, 'synonymous_variant'), false) AS bigint)) AS n_synonymous,
@@ -144,6 +153,7 @@ SQL = {
     "p5_profile": _PROFILE.format(fields=_FIELDS),
     "p5_profile_columns": _PROFILE.replace("{fields}", _EVERY),
     "p5_drift": _DRIFT,
+    "p5_drift_whole": _DRIFT_WHOLE,
     "p6_found": " UNION ALL ".join(f"SELECT raw_id, reason FROM ({_judged(feed)}) j WHERE reason IS NOT NULL" for feed in _FEEDS),
     "p6_mutect2_rows": _typed("mutect2", "sample_id gene chrom #start #end ref alt effect filter"),
     "p6_attribute_rows": _typed("sample_attributes", "sampid ~smtsisch ~smrin smnabtch smgebtch smtsd"),

@@ -3,6 +3,7 @@
 import csv
 import datetime as dt
 import io
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from lattica.functions.keys import canonical_gene, canonical_key, leading_tokens
 from lattica.operators import hotkeys, orphans, quality
 from lattica.plans import problems
+from lattica.session import written
 from lattica.sources import lines
 
 
@@ -202,6 +204,42 @@ def test_queries_of_sample_attr_leave_no_column_out(spark, small):
     assert own.exceptAll(columns).count() == columns.exceptAll(own).count() == 0
 
 
+def test_drift_counts_null_loads_lost_values_and_empty_loads(spark):
+    values = {None: ["a", "b"] * 10 + [None], 1: ["a"] * 900 + ["c"] * 100, 2: ["b"] * 30, 3: [None] * 5, 4: ["a", "b", "d", "x1"]}
+    df = spark.createDataFrame([(load, v) for load, vs in values.items() for v in vs], "load int, t string")
+    rules = quality.rules_of(df, [], "load")
+    got = {r.group_key: r for r in quality.drift(written(quality.value_counts(df, rules, "load")), rules).collect()}
+    assert set(got) == set(values)
+    assert (got[3].load_n, got[3].cells, got[3].psi, got[3].psi_present, got[3].chi_square) == (0, 0, None, None, None)
+    known = {load: [v for v in vs if v] for load, vs in values.items()}
+    every = [v for vs in known.values() for v in vs]
+    for load in (None, 1, 2, 4):
+        own, rest, psi, chi, present = known[load], len(every) - len(known[load]), 0, 0, 0
+        for v in set(every):
+            n, all_n = own.count(v), every.count(v)
+            a, b = max(n / len(own), 1e-4), max((all_n - n) / rest, 1e-4)
+            psi, present = psi + (a - b) * math.log(a / b), present + (n > 0) * (a - b) * math.log(a / b)
+            want = all_n * len(own) / len(every)
+            chi += (n - want) ** 2 / want
+        g = got[load]
+        assert (g.load_n, g.cells) == (len(own), len(set(own)))
+        assert (g.psi, g.psi_present, g.chi_square) == (pytest.approx(psi), pytest.approx(present), pytest.approx(chi))
+    assert got[2].psi > got[2].psi_present + 5  # most others have "a", which load 2 lost
+
+
+def test_drift_of_a_null_load_equals_its_sql(spark, small, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = spark.read.parquet(f"{small}/sample_attr.parquet").withColumn("load_no", F.when(F.col("row_id") % 5 != 0, F.col("load_no")))
+    rows.write.parquet(f"{tmp_path}/sample_attr.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW sample_attr AS SELECT * FROM read_parquet('{tmp_path}/sample_attr.parquet/*.parquet')")
+    for f in (problems.p5_drift, problems.p5_drift_whole):
+        got = f(spark, str(tmp_path))
+        own, want = ({(r[0], r[1]): r[2:] for r in data} for data in (got.collect(), con.execute(problems.SQL[f.__name__]).fetchall()))
+        assert set(own) == set(want) and any(load is None for load, _ in own)
+        assert all(own[k] == pytest.approx(want[k]) for k in own)
+
+
 # ------------------------------------------------------------------------------------------ problem 6
 
 TERMS = ["stop_gained", "intron_variant"]
